@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat_format, jaccard_join, packing, quality_model, quality_rules, toxicity
+from sparkloom.llm import chat_format, jaccard_join, packing, quality_model, quality_rules, repeat_spans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.op8_quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.op9_repeat_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op10_jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_toxicity": op7_toxicity,
         "op8_quality_model": op8_quality_model,
+        "op9_repeat_spans": op9_repeat_spans,
         "op10_jaccard_join": op10_jaccard_join,
     }
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat_format, jaccard_join, packing, quality_model, quality_rules, repeat_spans, toxicity
+from sparkloom.llm import chat_format, jaccard_join, near_vectors, packing, quality_model, quality_rules, repeat_spans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.op1_near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.op2_chat_format(spark, table(spark, sf_dir, "conversations"))
 
@@ -43,6 +47,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_vectors": op1_near_vectors,
         "op2_chat_format": op2_chat_format,
         "op5_quality_rules": op5_quality_rules,
         "op6_packing": op6_packing,
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_near_vectors": near_vectors.op1_sql(),
         "op2_chat_format": chat_format.op2_sql(),
         "op5_quality_rules": quality_rules.op5_sql(),
         "op10_jaccard_join": jaccard_join.op10_sql(),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat_format, jaccard_join, near_vectors, packing, quality_model, quality_rules, repeat_spans, toxicity
+from sparkloom.llm import chat_format, jaccard_join, language_id, near_vectors, packing, quality_model, quality_rules, repeat_spans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.op2_chat_format(spark, table(spark, sf_dir, "conversations"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op3_language_id(table(spark, sf_dir, "documents"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op5_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -49,6 +57,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors,
         "op2_chat_format": op2_chat_format,
+        "op3_language_id": op3_language_id,
+        "pages_language_id": pages_language_id,
         "op5_quality_rules": op5_quality_rules,
         "op6_packing": op6_packing,
         "op7_toxicity": op7_toxicity,

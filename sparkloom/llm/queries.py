@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import chat_format, jaccard_join, language_id, near_vectors, packing, quality_model, quality_rules, repeat_spans, toxicity
+from sparkloom.llm import chat_format, jaccard_join, language_id, near_vectors, packing, piece_codec, quality_model, quality_rules, repeat_spans, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.op4_piece_codec(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.op5_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": op2_chat_format,
         "op3_language_id": op3_language_id,
         "pages_language_id": pages_language_id,
+        "op4_piece_codec": op4_piece_codec,
         "op5_quality_rules": op5_quality_rules,
         "op6_packing": op6_packing,
         "op7_toxicity": op7_toxicity,

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import byte_view, prefix_sums, small_batches, span_hash, staged, steps, text_or_empty
+from sparkloom.llm.shared import byte_view, mixed, prefix_sums, small_batches, span_hash, staged, steps, text_or_empty, unzipped, zipped
 
 WIDTH = 200
 GRAM = 64
@@ -75,7 +75,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram:
 
 
 def _runs(docs: DataFrame, width: int) -> DataFrame:
-    """(kh, ch, ka, p): runs of all documents; p packs 24 bits of the row's key, the first start and the number of starts."""
+    """(kh, ch, ka, p, known): runs of all documents; p packs 24 bits of the row's key, the first start and the number of starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,10 +83,27 @@ def _runs(docs: DataFrame, width: int) -> DataFrame:
             data, offsets = byte_view(batch.column("_t"))
             for low, high in steps(offsets):
                 doc, start, size, kh, ch = anchor_runs(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], width)
-                columns = [kh.view(np.int64), ch.view(np.int64), ka[doc + low], packed(kb[doc + low], start, size)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["kh", "ch", "ka", "p"])
+                known = twins_here(kh, ch)
+                places = packed(kb[doc + low], start, size)
+                kh = np.where(known == 2, mixed(ka[doc + low].view(np.uint64) ^ mixed(places.view(np.uint64))), kh)
+                columns = [kh.view(np.int64), ch.view(np.int64), ka[doc + low], places, known]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["kh", "ch", "ka", "p", "known"])
 
-    return docs.mapInArrow(run, "kh long, ch long, ka long, p long")
+    return docs.mapInArrow(run, "kh long, ch long, ka long, p long, known long")
+
+
+def twins_here(kh: np.ndarray, ch: np.ndarray) -> np.ndarray:
+    """Of the runs at hand: 0 for those without an equal one, 1 for the first of equal ones, 2 for the others.
+
+    Only the first needs to meet the runs of other places. The others are settled: they travel under keys of their own, so
+    that a passage repeated everywhere is brought together once for each place.
+    """
+    known = np.zeros(len(kh), np.int64)
+    order = np.lexsort((ch, kh))
+    same = np.zeros(len(kh) + 1, bool)
+    same[1:-1] = (kh[order][1:] == kh[order][:-1]) & (ch[order][1:] == ch[order][:-1])
+    known[order] = np.where(same[:-1], 2, np.where(same[1:], 1, 0))
+    return known
 
 
 def packed(kb: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -99,8 +116,11 @@ def unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of runs sorted by kh and ch: those whose kh occurs again, with twin: ch does too. Streams; holds one row back."""
-    held: np.ndarray | None = None  # one row: kh, ch, ka, p, shares kh with the row before, shares ch with it
+    """Of runs sorted by kh and ch: those whose kh occurs again or whose twin is known, with twin: ch occurs again.
+
+    Streams; holds one row back, with two more columns: it shares kh, and ch, with the row before.
+    """
+    held: np.ndarray | None = None
     for batch in batches:
         rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns] + [np.zeros((batch.num_rows, 2), np.int64)])
         rows = rows if held is None else np.vstack([held, rows])
@@ -108,14 +128,15 @@ def _shared_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         same = rows[1:, 0] == rows[:-1, 0]
         twin = same & (rows[1:, 1] == rows[:-1, 1])
-        rows[1:, 4] |= same
-        rows[1:, 5] |= twin
+        rows[1:, 5] |= same
+        rows[1:, 6] |= twin
         held = rows[-1:].copy()
         rows = rows[:-1]
-        yield _twins(rows[(rows[:, 4] == 1) | same], (rows[:, 5] == 1)[(rows[:, 4] == 1) | same] | twin[(rows[:, 4] == 1) | same])
+        wanted = (rows[:, 4] > 0) | (rows[:, 5] == 1) | same
+        yield _twins(rows[wanted], ((rows[:, 4] > 0) | (rows[:, 6] == 1) | twin)[wanted])
     if held is not None:
-        rows = held[held[:, 4] == 1]
-        yield _twins(rows, rows[:, 5] == 1)
+        rows = held[(held[:, 4] > 0) | (held[:, 5] == 1)]
+        yield _twins(rows, (rows[:, 4] > 0) | (rows[:, 6] == 1))
 
 
 def _twins(rows: np.ndarray, twin: np.ndarray) -> pa.RecordBatch:
@@ -236,14 +257,13 @@ def _contexts(docs: DataFrame, reps: DataFrame, width: int) -> DataFrame:
     """Adds the bytes of each run's context: one row for each of ``reps`` (kh, ch, ka, p, twin, runs)."""
     lists = reps.groupBy("ka", F.shiftrightunsigned("p", 40).alias("kb")).agg(F.collect_list(F.struct("kh", "ch", "p", "twin", "runs")).alias("l"))
     # Copies of one row (same doc_id and text) share their key; one of them serves.
-    found = docs.select("ka", "kb", "_t").join(lists, ["ka", "kb"]).select("ka", "_t", "l")
+    found = zipped(docs.select("ka", "kb", "_t")).join(lists, ["ka", "kb"]).select("ka", "_z", "l")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             held = 0
-            for ka, text, some in zip(batch.column("ka").to_pylist(), batch.column("_t"), batch.column("l"), strict=True):
-                data = text.as_buffer().to_pybytes()
+            for ka, data, some in zip(batch.column("ka").to_pylist(), unzipped(batch.column("_z")), batch.column("l"), strict=True):
                 for r in some.as_py():
                     start, size = (r["p"] >> 8) & 0xFFFFFFFF, (r["p"] & 0xFF) + 1
                     rows.append((r["kh"], r["ch"], ka, r["p"], r["twin"], r["runs"], data[start : start + size - 1 + width]))
@@ -353,12 +373,20 @@ def mask(size: int, runs: np.ndarray, width: int) -> np.ndarray:
 
 
 def _with_runs(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with _t and the list _runs of each row's repeated runs."""
-    own = docs.columns
-    keyed = docs.withColumn("_t", text_or_empty()).select(*own, "_t", *_key())
+    """``docs`` without text, with _z (the text, compressed), _null and the list _runs of each row's repeated runs."""
+    others = [c for c in docs.columns if c != "text"]
+    keyed = docs.withColumn("_t", text_or_empty()).select(*others, F.col("text").isNull().alias("_null"), "_t", *_key())
     runs = repeated_runs(keyed.select("_t", "ka", "kb"), width)
     lists = runs.groupBy("ka", F.shiftrightunsigned("p", 40).alias("kb")).agg(F.collect_list("p").alias("_runs"))
-    return keyed.join(lists, ["ka", "kb"], "left").select(*own, "_t", "_runs")
+    return zipped(keyed).join(lists, ["ka", "kb"], "left").drop("ka", "kb")
+
+
+def _kept(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of each row's text, and which of them are removed."""
+    for text, runs in zip(unzipped(batch.column("_z")), batch.column("_runs"), strict=True):
+        data = np.frombuffer(text, np.uint8)
+        places = runs.values.to_numpy(zero_copy_only=False) if runs.is_valid else np.zeros(0, np.int64)
+        yield data, mask(len(data), places, width)
 
 
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -367,17 +395,12 @@ DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     small_batches(docs.sparkSession)
-    rows = _with_runs(docs.select("doc_id", "text"), width).select("doc_id", "_t", "_runs")
+    rows = _with_runs(docs.select("doc_id", "text"), width).select("doc_id", "_z", "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column("_t"), batch.column("_runs"), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                if not runs.is_valid:
-                    out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest()))
-                    continue
-                gone = mask(len(data), runs.values.to_numpy(zero_copy_only=False), width)
+            for data, gone in _kept(batch, width):
                 spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(data), int(gone.sum()), spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
             columns = list(zip(*out, strict=True)) or [()] * 4
@@ -390,26 +413,20 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with repeated spans cut from ``text`` (and n_chars, if there, counted anew). Null texts stay null."""
     small_batches(docs.sparkSession)
-    own = docs.columns
-    rows = _with_runs(docs, width)
+    others = [c for c in docs.columns if c != "text"]
+    rows = _with_runs(docs, width).select(*others, "_null", "_z", "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, runs in zip(batch.column("_t"), batch.column("_runs"), strict=True):
-                data = np.frombuffer(text.as_buffer(), np.uint8)
-                if runs.is_valid:
-                    data = data[~mask(len(data), runs.values.to_numpy(zero_copy_only=False), width)]
-                out.append(data.tobytes().decode("utf-8", "ignore"))
-            columns = [batch.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.string())], [*own, "_kept"])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_kept string"])
-    cut = rows.select(*own, "_t", "_runs").mapInArrow(run, schema)
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("_kept"))}
-    if "n_chars" in own:
-        new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in own])
+            out = [data[~gone].tobytes().decode("utf-8", "ignore") for data, gone in _kept(batch, width)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), batch.column("_null"), pa.array(out, pa.string())], [*others, "_null", "_kept"])
+
+    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + ["_null boolean", "_kept string"])
+    cut = rows.mapInArrow(run, schema)
+    new = {"text": F.when(~F.col("_null"), F.col("_kept"))}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(~F.col("_null"), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def op9_repeat_spans(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,22 +32,30 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: the lineage ends there.
 
-    The folder's name is unique. :func:`forget_staged` removes a session's tables once results are written.
+    The folder's name is unique. Shuffle files of the write are let go at once. :func:`tables_of` names the tables
+    written so far, and :func:`remove` deletes them once the results that read them are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.setdefault(id(spark), []).append(path)
+    tables_of(spark).append(path)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark drops the shuffle files of plans that nobody holds
     return spark.read.schema(df.schema).parquet(path)
 
 
 _written: dict[int, list[str]] = {}
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a staged table that nothing reads any more."""
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        remove(spark, file)
+def tables_of(spark: SparkSession) -> list[str]:
+    """The paths of the tables that this session has staged and not removed; callers may take paths out."""
+    return _written.setdefault(id(spark), [])
+
+
+def forget_staged(spark: SparkSession) -> None:
+    """Deletes every table that this session staged. Call it after the results that read them are written."""
+    for path in _written.pop(id(spark), []):
+        remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -143,3 +152,28 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     """Mixed hashes of the spans [starts, ends) from :func:`prefix_sums`."""
     _, down = powers(base, len(sums))
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * MIX_A)
+
+
+def zipped(df: DataFrame, text: str = "_t", zipped_as: str = "_z") -> DataFrame:
+    """Replaces a column of texts without nulls by compressed bytes, so that a shuffle moves less than half of them."""
+    others = [c for c in df.columns if c != text]
+    rows = df.select(*others, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            blobs = pa.array([pack(t.as_buffer()) for t in batch.column(text)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), blobs], [*others, zipped_as])
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text] + [f"{zipped_as} binary"])
+    return rows.mapInArrow(run, schema)
+
+
+def unzipped(blobs: pa.Array) -> list[bytes]:
+    """The UTF-8 bytes of texts from :func:`zipped`."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(b.as_buffer()) for b in blobs]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.llm.shared import byte_view, small_batches, staged, text_or_empty
+from sparkloom.llm.shared import SPACE_CLASS, byte_view, small_batches, staged, text_or_empty, unzipped, zipped
 from sparkloom.llm.shingles import SHINGLE, shingle_sets
 
 #: n-grams are counted in this many bins, whatever the size of the corpus.
@@ -36,6 +36,10 @@ BIN_BITS = 17
 #: Most members of a star that are verified in one piece, and most entries of one list of an n-gram.
 CHUNK = 256
 THRESHOLD = 80
+#: Candidates share at least so many n-grams of prefixes that are longer by as many less one (or all, where fewer are needed).
+SHARED = 4
+#: Rounds of stars before the exact round.
+STAR_ROUNDS = 3
 NO_ID = 1 << 62
 
 
@@ -79,25 +83,28 @@ def _classes(facts: DataFrame) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
-    """(token, ka, kb, n, at): the n-grams in the prefix of each set, with their place in the global order."""
+    """(token, ka, n, at): the n-grams in the prefix of each set, with their place in the global order.
+
+    Sets whose texts share ka would only become candidates for more; links are verified on texts named by both keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ka, kb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ka", "kb"))
+            ka = batch.column("ka").to_numpy(zero_copy_only=False)
             _, first = np.unique(ka, return_index=True)
             for low, high, sets, bounds in shingle_sets(*byte_view(batch.column("_t")), size):
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((sets, classes[_bins(sets)], doc))
                 at = np.arange(len(sets)) - bounds[:-1][doc]
-                keep = (at <= n[doc] + (-threshold * n[doc]) // 100) & np.isin(doc + low, first)
+                keep = (at < n[doc] + (-threshold * n[doc]) // 100 + SHARED) & np.isin(doc + low, first)
                 who = doc[keep] + low
-                columns = [sets[order][keep].view(np.int64), ka[who], kb[who], n[doc[keep]], at[keep]]
+                columns = [sets[order][keep].view(np.int64), ka[who], n[doc[keep]], at[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    names = ["token", "ka", "kb", "n", "at"]
+    names = ["token", "ka", "n", "at"]
     schema = ", ".join(f"{c} long" for c in names)
-    dealt = docs.mapInArrow(run, schema).repartition("token").sortWithinPartitions("token", "ka", "kb")
+    dealt = docs.mapInArrow(run, schema).repartition("token").sortWithinPartitions("token", "ka")
     return dealt.mapInArrow(_shared, schema)
 
 
@@ -114,7 +121,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(rows):
             continue
         fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
+        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
         rows = rows[fresh]
         same = rows[1:, 0] == rows[:-1, 0]
         wanted = np.zeros(len(rows), bool)
@@ -128,15 +135,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, told = rows[-1:], last_told
 
 
-def needed(na: str, nb: str, threshold: int) -> Column:
-    """The least overlap of sets of these sizes that reaches the threshold."""
-    return F.expr(f"({threshold} * ({na} + {nb}) + {99 + threshold}) div {100 + threshold}")
+def need_sql(a: str, b: str, threshold: int) -> str:
+    """SQL: the least overlap of sets of these sizes that reaches the threshold."""
+    return f"(({threshold} * ({a} + {b}) + {99 + threshold}) div {100 + threshold})"
 
 
 def can_link(a: str, b: str, threshold: int) -> str:
-    """SQL: the token at these places may be the first that two linked sets share."""
-    need = f"(({threshold} * ({a}.n + {b}.n) + {99 + threshold}) div {100 + threshold})"
-    return f"({a}.at + {need} <= {a}.n and {b}.at + {need} <= {b}.n)"
+    """SQL: the token at these places may be among the first SHARED that two linked sets share."""
+    need = need_sql(f"{a}.n", f"{b}.n", threshold)
+    return f"({a}.at + {need} < {a}.n + {SHARED} and {b}.at + {need} < {b}.n + {SHARED})"
 
 
 class Trie:
@@ -195,17 +202,13 @@ def linked(query: np.ndarray, members: list[np.ndarray], classes: np.ndarray, th
     return (Trie(sets).overlaps(inside, need) >= need).tolist()
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: node numbers) that reach the threshold. Texts are fetched once for each use."""
+def _verified(blobs: DataFrame, pairs: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: node numbers) that reach the threshold; ``blobs`` has the texts (node, _z)."""
     n_chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = pairs.join(n_chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk"))
-    dealt = staged(dealt, "pairs")
+    dealt = staged(pairs.join(n_chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")), "pairs")
     uses = dealt.select(F.col("b").alias("node"), "a", "chunk", F.col("b").alias("member"))
     uses = uses.unionAll(dealt.select("a", "chunk").distinct().select(F.col("a").alias("node"), "a", "chunk", F.lit(None).cast("long").alias("member")))
-    # One row of a text is read for each node: that of the node's own document.
-    wanted = uses.join(nodes.select("node", "ka", "kb", "pick"), "node")
-    texts = docs.select("_t", "ka", "kb", F.coalesce("doc_id", F.lit(-1)).alias("pick")).where("_t <> ''")
-    found = texts.join(wanted.drop("node"), ["ka", "kb", "pick"]).select("a", "chunk", "member", "_t")
+    found = blobs.join(uses, "node").select("a", "chunk", "member", "_z")
     found = found.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +222,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, classes: np.n
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("a", "chunk", "member")]
-            for first, last, sets, bounds in shingle_sets(*byte_view(batch.column("_t")), size):
+            texts = pa.array(unzipped(batch.column("_z")), pa.binary())
+            for first, last, sets, bounds in shingle_sets(*byte_view(texts), size):
                 for k in range(first, last):
                     own = sets[bounds[k - first] : bounds[k - first + 1]]
                     now = (columns[0][k], columns[1][k])
@@ -237,25 +241,30 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, classes: np.n
     return found.mapInArrow(run, "a long, b long")
 
 
-def _star_pairs(entries: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): each node b with the star centre a that shares most of its early tokens, among those that may link."""
-    lead = entries.groupBy("token").agg(F.min_by(F.struct("node", "n", "at"), F.xxhash64("node")).alias("c"))
-    may = entries.alias("e").join(lead.select("token", "c.*").alias("c"), "token").where(f"c.node <> e.node and {can_link('c', 'e', threshold)}")
-    shared = may.groupBy(F.col("c.node").alias("a"), F.col("e.node").alias("b")).agg(F.count("*").alias("k"))
+def _star_pairs(entries: DataFrame, turn: int, threshold: int) -> DataFrame:
+    """(a, b): each node b with the star centre a of another component that shares most of its early tokens.
+
+    Every token has one centre, another in each turn.
+    """
+    lead = entries.groupBy("token").agg(F.min_by(F.struct("node", "n", "at", "component"), F.xxhash64("component", "node", F.lit(turn))).alias("c"))
+    may = entries.alias("e").join(lead.select("token", "c.*").alias("c"), "token").where(f"c.component <> e.component and {can_link('c', 'e', threshold)}")
+    shared = may.groupBy(F.col("c.node").alias("a"), F.col("e.node").alias("b")).agg(F.count("*").alias("k"), F.first("c.n").alias("na"), F.first("e.n").alias("nb"))
+    shared = shared.where(f"k >= least({SHARED}, {need_sql('na', 'nb', threshold)})")
     return shared.groupBy("b").agg(F.max_by("a", F.struct("k", F.expr("-a"))).alias("a")).select("a", "b")
 
 
 def _cross_pairs(entries: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): nodes of different components that may link, from lists of bounded size of each token and component."""
+    """(a, b): all nodes of different components that may link, from lists of bounded size of each token and component."""
     mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high")
     dealt = entries.join(mixed.select("token", F.ceil(F.col("k") / CHUNK).alias("chunks")), "token")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
     lists = dealt.groupBy("token", "component", "chunk").agg(F.collect_list(F.struct("node", "n", "at")).alias("l"))
     a = lists.select("token", F.col("component").alias("ca"), F.col("l").alias("la"))
     b = lists.select("token", F.col("component").alias("cb"), F.col("l").alias("lb"))
-    hits = f"flatten(transform(la, x -> transform(filter(lb, y -> {can_link('x', 'y', threshold)}), y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))"
-    met = a.join(b, "token").where("ca < cb").select(F.expr(hits).alias("h")).where("size(h) > 0")
-    return met.select(F.explode(F.array_distinct("h")).alias("h")).select("h.a", "h.b").distinct()
+    pair = f"struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b, {need_sql('x.n', 'y.n', threshold)} as need)"
+    hits = f"flatten(transform(la, x -> transform(filter(lb, y -> {can_link('x', 'y', threshold)}), y -> {pair})))"
+    met = a.join(b, "token").where("ca < cb").select(F.explode(F.expr(hits)).alias("h"))
+    return met.groupBy("h.a", "h.b").agg(F.count("*").alias("k"), F.first("h.need").alias("need")).where(f"k >= least({SHARED}, need)").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -271,19 +280,49 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     least = F.min("doc_id")
     nodes = rows.where("n > 0").groupBy("ka", "kb").agg(F.coalesce(least, F.lit(NO_ID) + F.pmod(F.first("ka"), F.lit(NO_ID - 1))).alias("node"), F.coalesce(least, F.lit(-1)).alias("pick"))
     nodes = staged(nodes, "nodes")
-    entries = _entries(own.select("_t", "ka", "kb"), classes, size, threshold).join(nodes.select("ka", "kb", "node"), ["ka", "kb"]).select("token", "node", "n", "at")
+    entries = _entries(own.select("_t", "ka"), classes, size, threshold).join(nodes.select("ka", "node"), "ka").select("token", "node", "n", "at")
+    # A node with a partner shares SHARED tokens, or all that it must share.
     entries = staged(entries, "entries")
-    stars = staged(_verified(own, nodes, _star_pairs(entries, threshold), classes, size, threshold), "star-links")
-    tied = components(stars)
-    placed = entries.join(tied, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-    rest = staged(_verified(own, nodes, _cross_pairs(placed, threshold), classes, size, threshold), "cross-links")
-    tied = components(stars.unionAll(rest))
+    enough = entries.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"k >= least({SHARED}, ({threshold} * n + 99) div 100)").select("node")
+    enough = staged(enough, "candidates")
+    entries = staged(entries.join(enough, "node"), "entries")
+    wanted = nodes.join(enough, "node").select("node", "ka", "kb", "pick")
+    texts = zipped(own.select("_t", "ka", "kb", F.coalesce("doc_id", F.lit(-1)).alias("pick")).where("_t <> ''"))
+    blobs = staged(texts.join(wanted, ["ka", "kb", "pick"]).select("node", "_z").dropDuplicates(["node"]), "texts")
+    links = None
+    tied = None
+    for turn in range(STAR_ROUNDS + 1):
+        if tied is None:
+            placed = entries.withColumn("component", F.col("node"))
+        else:
+            placed = entries.join(tied, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
+        pairs = _star_pairs(placed, turn, threshold) if turn < STAR_ROUNDS else _cross_pairs(placed, threshold)
+        found = staged(_verified(blobs, pairs, classes, size, threshold), "verified")
+        links = found if tied is None else tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
+        tied = components(links)
     ids = nodes.join(tied, "node", "left").select("ka", "kb", F.coalesce("component", "node").alias("c"))
     ids = ids.select("ka", "kb", F.when(F.col("c") < NO_ID, F.col("c")).alias("c"), F.lit(True).alias("_some"))
     out = rows.join(ids, ["ka", "kb"], "left")
     return out.select("doc_id", "ka", "kb", F.col("n").alias("n_shingles"), F.when(F.col("_some"), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the document with the least doc_id (a null one last).
+
+    Rows that are equal in doc_id and text count as one. Texts without words are all kept. Only the row's keys are
+    shuffled, texts not, unless the table of kept keys is too large to send around.
+    """
+    own = docs.columns
+    found = near_duplicates(docs, size, threshold).select("doc_id", "ka", "kb", "n_shingles", F.coalesce("component_id", F.col("ka")).alias("c"))
+    some = found.where("n_shingles > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "ka", "kb")).alias("best"))
+    kept = some.select(F.coalesce("best.doc_id", F.lit(NO_ID)).alias("_d"), F.col("best.ka").alias("_ka"), F.col("best.kb").alias("_kb"))
+    rows = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), text_or_empty().alias("_t"))
+    rows = rows.select(*own, "_d", F.xxhash64("_t").alias("_ka"), F.hash("_t").cast("long").alias("_kb"))
+    texts = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(f"[^{SPACE_CLASS[1:-1]}]")
+    best = rows.where(texts).join(kept, ["_d", "_ka", "_kb"], "left_semi").dropDuplicates(["_d", "_ka", "_kb"]).select(*own)
+    return best.unionByName(rows.where(~texts).select(*own))
+
+
 def op10_jaccard_join(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 

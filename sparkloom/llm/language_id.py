@@ -154,14 +154,12 @@ def _agreement(rows: DataFrame, model: TextModel, column: str) -> float:
     return ((got["k"] or 0) + 1) / (got["n"] + 2)
 
 
-def identified(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list[str], stage: bool) -> DataFrame:
+def identified(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list[str]) -> DataFrame:
     """``keep`` columns, language (null: none), posterior and kept.
 
-    With ``stage`` the text's likelihoods are written once, without texts; without it they are computed for the
-    priors and again for the rows, so that texts among ``keep`` are never shuffled or written.
+    The texts' likelihoods are written once, with the columns to keep, before hosts are counted and joined.
     """
-    rows = _with_text(docs, model, evidence, keep)
-    facts = staged(rows, "language-facts") if stage else rows
+    facts = staged(_with_text(docs, model, evidence, keep), "language-facts")
     if not model.languages:
         return facts.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.col("_letters").alias("kept"))
     levels = len(evidence.hosts)
@@ -188,13 +186,13 @@ def identified(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in a known language, with their own columns."""
     model = train(labelled_texts(docs))
-    return identified(docs, model, Evidence(hosts=(F.col("source"),)), docs.columns, stage=False).where("kept").select(*docs.columns)
+    return identified(docs, model, Evidence(hosts=(F.col("source"),)), docs.columns).where("kept").select(*docs.columns)
 
 
 def op3_language_id(docs: DataFrame) -> DataFrame:
     """doc_id, language, posterior and kept of every document; hosts are sources, and there is no markup or address."""
     model = train(labelled_texts(docs))
-    return identified(docs.select("doc_id", "text", "source", "lang"), model, Evidence(hosts=(F.col("source"),)), ["doc_id"], stage=True)
+    return identified(docs.select("doc_id", "text", "source", "lang"), model, Evidence(hosts=(F.col("source"),)), ["doc_id"])
 
 
 def page_evidence() -> Evidence:
@@ -213,4 +211,4 @@ def identified_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     model = train(labelled_texts(docs))
     body = F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</\1>", " ")
     rows = pages.withColumn("text", F.regexp_replace(body, r"<[^>]*>|&[a-z#0-9]+;", " "))
-    return identified(rows, model, page_evidence(), ["page_id"], stage=True)
+    return identified(rows, model, page_evidence(), ["page_id"])

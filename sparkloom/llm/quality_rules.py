@@ -99,17 +99,14 @@ def shrunk(hosts: DataFrame) -> DataFrame:
     return out.select("host", "n", *[f"rate_{r}" for r in RULES], (worst <= MAX_HOST_RATE).alias("host_ok"))
 
 
-def judged(docs: DataFrame, host: str = "source", keep_facts: bool = False) -> DataFrame:
-    """``docs`` with measures, base_failed and kept: false for a failed document, else the verdict of its host.
+def judged(docs: DataFrame, host: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """``keep`` columns (doc_id at least) with host, measures, base_failed and kept.
 
-    With ``keep_facts`` the measures are staged once, without texts, and only doc_id, host and facts are returned;
-    without it texts pass through and the measures are computed for the hosts and again for the rows, with no
-    shuffle of texts.
+    kept is false for a failed document, else the verdict of its host. The measures are written once, with the
+    columns to keep, before the hosts are summed and joined: no array is computed twice.
     """
-    if keep_facts:
-        rows = staged(measured(docs).select("doc_id", host, *MEASURES, "base_failed"), "quality-facts")
-    else:
-        rows = measured(docs)
+    keep = list(dict.fromkeys([*(keep or ["doc_id"]), host]))
+    rows = staged(measured(docs).select(*keep, *MEASURES, "base_failed"), "quality-facts")
     verdicts = host_rates(rows, host).select(F.col("host").alias("_host"), "host_ok")
     out = rows.join(verdicts, F.col(host) == F.col("_host"), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))).drop("_host", "host_ok")
@@ -118,7 +115,7 @@ def judged(docs: DataFrame, host: str = "source", keep_facts: bool = False) -> D
 def kept_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
     own = docs.columns
-    return judged(docs, host).where("kept").select(*own)
+    return judged(docs, host, own).where("kept").select(*own)
 
 
 def verdict_sql(documents: str) -> str:
@@ -166,4 +163,4 @@ def op5_sql() -> str:
 
 
 def op5_quality_rules(docs: DataFrame) -> DataFrame:
-    return judged(docs, keep_facts=True).select(*COLUMNS)
+    return judged(docs).select(*COLUMNS)

@@ -14,8 +14,8 @@ are cut into chunks of bounded size, lists of a common n-gram too.
 
 Defined cases: a null text counts as empty; texts without words link with nothing, not even with each other; fewer
 words than a shingle make one shingle; repeated rows are copies and link if they have words; a row with a null doc_id
-takes part and gets the component's least doc_id (null if there is none); an empty table gives no rows. doc_ids
-are below 2**62.
+takes part and gets the component's least doc_id (null if there is none); rows with one doc_id and other texts are
+documents of their own; an empty table gives no rows. doc_ids are below 2**62.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.llm.shared import SPACE_CLASS, byte_view, small_batches, staged, text_or_empty, unzipped, zipped
+from sparkloom.llm.shared import SPACE_CLASS, boxed, byte_view, small_batches, staged, text_or_empty, unzipped, zipped
 from sparkloom.llm.shingles import SHINGLE, shingle_sets
 
 #: n-grams are counted in this many bins, whatever the size of the corpus.
@@ -268,17 +268,17 @@ def _cross_pairs(entries: DataFrame, threshold: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """doc_id, ka, kb, n_shingles and component_id of every row: a component is what links of the threshold tie together.
+    """doc_id, ka, kb, n_shingles, component and component_id of every row.
 
-    ka and kb name the row's text; copies of a text have one component.
+    A component is what links of the threshold tie together; component_id is its least doc_id. ka and kb are hashes of the
+    row's text, and component is the hash of one of its texts (null without words). Copies of a text have one component.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t")).select("doc_id", "_t", *_key())
     facts = staged(_facts(own, size), "shingle-facts")
     classes = _classes(facts)
     rows = facts.where("bin is null").select("doc_id", "ka", "kb", "n")
-    least = F.min("doc_id")
-    nodes = rows.where("n > 0").groupBy("ka", "kb").agg(F.coalesce(least, F.lit(NO_ID) + F.pmod(F.first("ka"), F.lit(NO_ID - 1))).alias("node"), F.coalesce(least, F.lit(-1)).alias("pick"))
+    nodes = rows.where("n > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("least")).select("ka", "kb", F.col("ka").alias("node"), "least", F.coalesce("least", F.lit(-1)).alias("pick"))
     nodes = staged(nodes, "nodes")
     entries = _entries(own.select("_t", "ka"), classes, size, threshold).join(nodes.select("ka", "node"), "ka").select("token", "node", "n", "at")
     # A node with a partner shares SHARED tokens, or all that it must share.
@@ -300,10 +300,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         found = staged(_verified(blobs, pairs, classes, size, threshold), "verified")
         links = found if tied is None else tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
         tied = components(links)
-    ids = nodes.join(tied, "node", "left").select("ka", "kb", F.coalesce("component", "node").alias("c"))
-    ids = ids.select("ka", "kb", F.when(F.col("c") < NO_ID, F.col("c")).alias("c"), F.lit(True).alias("_some"))
+    ids = staged(nodes.join(tied, "node", "left").select("ka", "kb", "least", F.coalesce("component", "node").alias("component")), "components")
+    least = ids.groupBy("component").agg(F.min("least").alias("least"))
+    ids = ids.select("ka", "kb", "component").join(least, "component")
     out = rows.join(ids, ["ka", "kb"], "left")
-    return out.select("doc_id", "ka", "kb", F.col("n").alias("n_shingles"), F.when(F.col("_some"), F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "ka", "kb", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -312,15 +313,13 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD
     Rows that are equal in doc_id and text count as one. Texts without words are all kept. Only the row's keys are
     shuffled, texts not, unless the table of kept keys is too large to send around.
     """
-    own = docs.columns
-    found = near_duplicates(docs, size, threshold).select("doc_id", "ka", "kb", "n_shingles", F.coalesce("component_id", F.col("ka")).alias("c"))
-    some = found.where("n_shingles > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "ka", "kb")).alias("best"))
+    found = near_duplicates(docs, size, threshold).select("doc_id", "ka", "kb", "n_shingles", "component")
+    some = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "ka", "kb")).alias("best"))
     kept = some.select(F.coalesce("best.doc_id", F.lit(NO_ID)).alias("_d"), F.col("best.ka").alias("_ka"), F.col("best.kb").alias("_kb"))
-    rows = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), text_or_empty().alias("_t"))
-    rows = rows.select(*own, "_d", F.xxhash64("_t").alias("_ka"), F.hash("_t").cast("long").alias("_kb"))
-    texts = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(f"[^{SPACE_CLASS[1:-1]}]")
-    best = rows.where(texts).join(kept, ["_d", "_ka", "_kb"], "left_semi").dropDuplicates(["_d", "_ka", "_kb"]).select(*own)
-    return best.unionByName(rows.where(~texts).select(*own))
+    rows = docs.select(boxed(docs.columns), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), text_or_empty().alias("_t"))
+    rows = rows.select("_row", "_d", F.xxhash64("_t").alias("_ka"), F.hash("_t").cast("long").alias("_kb"), F.col("_t").rlike(f"[^{SPACE_CLASS[1:-1]}]").alias("_some"))
+    best = rows.where("_some").join(kept, ["_d", "_ka", "_kb"], "left_semi").dropDuplicates(["_d", "_ka", "_kb"])
+    return best.select("_row.*").unionByName(rows.where("not _some").select("_row.*"))
 
 
 def op10_jaccard_join(docs: DataFrame) -> DataFrame:

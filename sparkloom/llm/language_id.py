@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.llm.shared import byte_view, small_batches, staged, steps, text_or_empty
+from sparkloom.llm.shared import boxed, byte_view, small_batches, staged, steps, text_or_empty
 
 BUCKET_BITS = 13
 #: Training reads at most so many texts of each language, chosen by a hash of the text, and at most so many languages.
@@ -103,24 +104,25 @@ class Evidence:
 
 
 def _with_text(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list[str]) -> DataFrame:
-    """``keep`` columns with _ll (tempered log likelihoods), _top (the likeliest by text alone), _letters and the evidence."""
+    """_row (a struct of the ``keep`` columns) with _ll (tempered log likelihoods), _top (the likeliest by text alone), _letters and the evidence."""
     small_batches(docs.sparkSession)
     hosts = [h.cast("string").alias(f"_h{k}") for k, h in enumerate(evidence.hosts)]
     none = F.lit(None).cast("string")
-    rows = docs.select(*keep, text_or_empty().alias("_t"), *hosts, (evidence.declared if evidence.declared is not None else none).alias("_declared"), (evidence.suffix if evidence.suffix is not None else none).alias("_suffix"))
+    rows = docs.select(boxed(keep), text_or_empty().alias("_t"), *hosts, (evidence.declared if evidence.declared is not None else none).alias("_declared"), (evidence.suffix if evidence.suffix is not None else none).alias("_suffix"))
     extra = [c for c in rows.columns if c != "_t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = byte_view(batch.column("_t"))
             ll = model.likelihoods(data, offsets) * TEMPER
-            letters = ll[:, -1] < 0
-            top = np.where(letters, ll.argmax(axis=1), -1)
+            seen = np.concatenate([[0], np.cumsum(SYMBOLS[data] != 32)])
+            letters = seen[offsets[1:]] > seen[offsets[:-1]]
+            top = np.where(ll[:, -1] < 0, ll.argmax(axis=1), -1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), lists, pa.array(top, pa.int32()), pa.array(letters, pa.bool_())], [*extra, "_ll", "_top", "_letters"])
 
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in extra] + ["_ll array<double>", "_top int", "_letters boolean"])
-    return rows.mapInArrow(run, schema)
+    made = [T.StructField("_ll", T.ArrayType(T.DoubleType())), T.StructField("_top", T.IntegerType()), T.StructField("_letters", T.BooleanType())]
+    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in extra), *made]))
 
 
 def _priors(rows: DataFrame, model: TextModel, levels: int) -> tuple[list[float], DataFrame | None]:
@@ -155,13 +157,13 @@ def _agreement(rows: DataFrame, model: TextModel, column: str) -> float:
 
 
 def identified(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list[str]) -> DataFrame:
-    """``keep`` columns, language (null: none), posterior and kept.
+    """_row (a struct of the ``keep`` columns), language (null: none), posterior and kept.
 
     The texts' likelihoods are written once, with the columns to keep, before hosts are counted and joined.
     """
     facts = staged(_with_text(docs, model, evidence, keep), "language-facts")
     if not model.languages:
-        return facts.select(*keep, F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.col("_letters").alias("kept"))
+        return facts.select("_row", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.col("_letters").alias("kept"))
     levels = len(evidence.hosts)
     base, hosts = _priors(facts, model, levels)
     corpus = F.array(*[F.lit(p) for p in base])
@@ -180,19 +182,19 @@ def identified(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list
     language = F.get(F.array(*[F.lit(x) for x in model.languages]), F.col("_at") - 1)
     out = out.withColumn("posterior", posterior).withColumn("language", F.when(F.col("_letters"), language))
     kept = F.col("_letters") & F.col("language").isNotNull() & (F.col("posterior") >= LEAST_POSTERIOR)
-    return out.select(*keep, "language", "posterior", F.coalesce(kept, F.lit(False)).alias("kept"))
+    return out.select("_row", "language", "posterior", F.coalesce(kept, F.lit(False)).alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in a known language, with their own columns."""
     model = train(labelled_texts(docs))
-    return identified(docs, model, Evidence(hosts=(F.col("source"),)), docs.columns).where("kept").select(*docs.columns)
+    return identified(docs, model, Evidence(hosts=(F.col("source"),)), docs.columns).where("kept").select("_row.*")
 
 
 def op3_language_id(docs: DataFrame) -> DataFrame:
     """doc_id, language, posterior and kept of every document; hosts are sources, and there is no markup or address."""
     model = train(labelled_texts(docs))
-    return identified(docs.select("doc_id", "text", "source", "lang"), model, Evidence(hosts=(F.col("source"),)), ["doc_id"])
+    return identified(docs.select("doc_id", "text", "source", "lang"), model, Evidence(hosts=(F.col("source"),)), ["doc_id"]).select("_row.doc_id", "language", "posterior", "kept")
 
 
 def page_evidence() -> Evidence:
@@ -211,4 +213,4 @@ def identified_pages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     model = train(labelled_texts(docs))
     body = F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</\1>", " ")
     rows = pages.withColumn("text", F.regexp_replace(body, r"<[^>]*>|&[a-z#0-9]+;", " "))
-    return identified(rows, model, page_evidence(), ["page_id"])
+    return identified(rows, model, page_evidence(), ["page_id"]).select("_row.page_id", "language", "posterior", "kept")

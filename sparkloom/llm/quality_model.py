@@ -192,7 +192,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
 
 
 #: Bound of the labelled rows that training reads.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 12_000
 
 
 def features_of(texts: list[str]) -> np.ndarray:

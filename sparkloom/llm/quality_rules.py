@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import SPACE_CLASS, staged, text_or_empty
+from sparkloom.llm.shared import SPACE_CLASS, boxed, staged, text_or_empty
 
 #: A text with fewer words fails.
 MIN_WORDS = 50
@@ -100,22 +100,21 @@ def shrunk(hosts: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, host: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (doc_id at least) with host, measures, base_failed and kept.
+    """_row (a struct of the ``keep`` columns, doc_id at least) with host, measures, base_failed and kept.
 
     kept is false for a failed document, else the verdict of its host. The measures are written once, with the
     columns to keep, before the hosts are summed and joined: no array is computed twice.
     """
-    keep = list(dict.fromkeys([*(keep or ["doc_id"]), host]))
-    rows = staged(measured(docs).select(*keep, *MEASURES, "base_failed"), "quality-facts")
-    verdicts = host_rates(rows, host).select(F.col("host").alias("_host"), "host_ok")
-    out = rows.join(verdicts, F.col(host) == F.col("_host"), "left")
+    own = docs.select(boxed(keep or ["doc_id"]), F.col(host).alias("host"), "text")
+    rows = staged(measured(own).select("_row", "host", *MEASURES, "base_failed"), "quality-facts")
+    verdicts = host_rates(rows, "host").select(F.col("host").alias("_host"), "host_ok")
+    out = rows.join(verdicts, F.col("host") == F.col("_host"), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))).drop("_host", "host_ok")
 
 
 def kept_documents(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns."""
-    own = docs.columns
-    return judged(docs, host, own).where("kept").select(*own)
+    return judged(docs, host, docs.columns).where("kept").select("_row.*")
 
 
 def verdict_sql(documents: str) -> str:
@@ -163,4 +162,4 @@ def op5_sql() -> str:
 
 
 def op5_quality_rules(docs: DataFrame) -> DataFrame:
-    return judged(docs).select(*COLUMNS)
+    return judged(docs).select("_row.doc_id", *COLUMNS[1:])

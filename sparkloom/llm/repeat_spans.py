@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.llm.shared import byte_view, mixed, prefix_sums, small_batches, span_hash, staged, steps, text_or_empty, unzipped, zipped
+from sparkloom.llm.shared import boxed, byte_view, mixed, prefix_sums, small_batches, span_hash, staged, steps, text_or_empty, unzipped, zipped
 
 WIDTH = 200
 GRAM = 64
@@ -413,20 +414,18 @@ def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with repeated spans cut from ``text`` (and n_chars, if there, counted anew). Null texts stay null."""
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != "text"]
-    rows = _with_runs(docs, width).select(*others, "_null", "_z", "_runs")
+    rows = _with_runs(docs.select("doc_id", "text", boxed([c for c in docs.columns if c != "text"])), width).select("_row", "_null", "_z", "_runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [data[~gone].tobytes().decode("utf-8", "ignore") for data, gone in _kept(batch, width)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), batch.column("_null"), pa.array(out, pa.string())], [*others, "_null", "_kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_null"), pa.array(out, pa.string())], ["_row", "_null", "_kept"])
 
-    schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others] + ["_null boolean", "_kept string"])
-    cut = rows.mapInArrow(run, schema)
+    cut = rows.mapInArrow(run, T.StructType([rows.schema["_row"], rows.schema["_null"], T.StructField("_kept", T.StringType())]))
     new = {"text": F.when(~F.col("_null"), F.col("_kept"))}
-    if "n_chars" in others:
-        new["n_chars"] = F.when(~F.col("_null"), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cut.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(~F.col("_null"), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+    return cut.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op9_repeat_spans(docs: DataFrame) -> DataFrame:

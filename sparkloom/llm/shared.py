@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The ASCII white space that the word contracts name.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -167,10 +168,15 @@ def zipped(df: DataFrame, text: str = "_t", zipped_as: str = "_z") -> DataFrame:
             blobs = pa.array([pack(t.as_buffer()) for t in batch.column(text)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), blobs], [*others, zipped_as])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text] + [f"{zipped_as} binary"])
+    schema = T.StructType([f for f in rows.schema if f.name != text] + [T.StructField(zipped_as, T.BinaryType())])
     return rows.mapInArrow(run, schema)
 
 
+def boxed(columns: list[str], name: str = "_row") -> Column:
+    """The columns as one struct, so that their names clash with none that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name)
+
+
 def unzipped(blobs: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of texts from :func:`zipped`."""
     import zstandard

@@ -131,9 +131,11 @@ class Lexicon:
 #: Bounds of what training reads and keeps: labelled rows, at most half of them toxic; sizes of stems; terms.
 SAMPLE_ROWS = 8_000
 STEM_SIZES = range(3, 9)
-#: A term needs so many toxic documents, and such a share of them; a longer term stands for a stem with this share of its documents.
-LEAST_DOCS, LEAST_SHARE, SAME_SHARE = 4, 0.005, 0.9
-LEAST_RATIO = 12.0
+#: A term needs so many toxic documents, such a ratio of frequencies and such a gain.
+LEAST_DOCS, LEAST_SHARE, LEAST_GAIN = 4, 0.008, 18.0
+#: A longer term stands for a stem if it has this share of the stem's documents.
+SAME_SHARE = 0.9
+LEAST_RATIO = 4.0
 MOST_TERMS = 5_000
 
 
@@ -150,39 +152,31 @@ def _copy_key(text: str, label: int) -> tuple[int, object]:
 def train(rows: list[tuple[str, int]], exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
     """Learns terms from (text, label) rows, copies of a text counting once.
 
-    Document frequencies of words and stems in both classes give smoothed ratios. Terms enter from the shortest stem
-    on; a longer term joins only when no accepted stem covers it. An accepted stem is then lengthened as long as one
-    longer term has nearly all of its documents, down to the whole word. Bias, slope and drag are fitted by logistic
-    regression on the same rows.
+    Document frequencies of words and stems in both classes give smoothed ratios. A term's gain is its toxic documents
+    times the log of its ratio. Terms enter by gain, of equals the longest; a term that begins an accepted one, or that an
+    accepted one begins, stays out: so each family of words is stood for by its most telling stem. Bias, slope and drag
+    are fitted by logistic regression on the same rows.
     """
     rows = list({_copy_key(text, y): (text, y) for text, y in reversed(rows)}.values())
     total = [sum(1 for _, y in rows if not y), sum(1 for _, y in rows if y)]
     toxic = Counter(t for text, y in rows if y for t in _terms(text))
-    least = max(LEAST_DOCS, LEAST_SHARE * total[1])
-    toxic = Counter({t: k for t, k in toxic.items() if k >= least})
+    toxic = Counter({t: k for t, k in toxic.items() if k >= max(LEAST_DOCS, LEAST_SHARE * total[1])})
     clean = Counter(t for text, y in rows if not y for t in _terms(text) & toxic.keys())
-    ratios = {}
-    for term, k in toxic.items():
-        ratio = (k + 0.1) / (total[1] + 0.2) / ((clean[term] + 0.1) / (total[0] + 0.2))
-        if ratio >= LEAST_RATIO:
-            ratios[term] = ratio
-    order = sorted(ratios, key=lambda t: (len(t.strip()), t.endswith(" "), t))
-    longer: dict[str, list[str]] = {}
-    for term in order:
-        longer.setdefault(f" {term.strip()[:-1]}" if not term.endswith(" ") else term[:-1], []).append(term)
+    logs = {t: math.log((k + 0.5) / (total[1] + 1) / ((clean[t] + 0.5) / (total[0] + 1))) for t, k in toxic.items()}
+    gains = {t: toxic[t] * v for t, v in logs.items() if v >= math.log(LEAST_RATIO) and toxic[t] * v >= LEAST_GAIN}
     weights: dict[str, float] = {}
-    roots: list[str] = []
-    for term in order:
-        word = term.strip()
-        if not any(f" {word[:n]}" in roots for n in STEM_SIZES if n < len(word) or term.endswith(" ")):
-            roots.append(term)
-    for term in roots:
-        best = term
-        while nexts := [t for t in longer.get(best, ()) if toxic[t] >= SAME_SHARE * toxic[term]]:
-            best = max(nexts, key=lambda t: (toxic[t], t))
-        weights[best] = math.log(ratios[best])
-    kept = sorted(weights, key=lambda t: (-toxic[t] * weights[t], t))[:MOST_TERMS]
-    return fitted(Lexicon({t: weights[t] for t in kept}, exceptions=exceptions), rows)
+    begun: set[str] = set()
+    longer: dict[str, list[str]] = {}
+    for term in gains:
+        longer.setdefault(term[:-1], []).append(term)
+    for term in sorted(gains, key=lambda t: (-gains[t], -len(t), t)):
+        whole = toxic[term]
+        while nexts := [t for t in longer.get(term, ()) if toxic[t] >= SAME_SHARE * whole]:
+            term = max(nexts, key=lambda t: (toxic[t], t))
+        if term not in begun and not any(term[:n] in weights for n in range(2, len(term))) and len(weights) < MOST_TERMS:
+            weights[term] = logs[term]
+            begun.update(term[:n] for n in range(2, len(term) + 1))
+    return fitted(Lexicon(weights, exceptions=exceptions), rows)
 
 
 def fitted(lexicon: Lexicon, rows: list[tuple[str, int]]) -> Lexicon:

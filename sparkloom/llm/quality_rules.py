@@ -85,16 +85,16 @@ def host_rates(facts: DataFrame, host: str = "source") -> DataFrame:
 
 
 def shrunk(hosts: DataFrame) -> DataFrame:
-    """Adds the shrunk rate of each rule and host_ok to host counts; the priors are one row of sums over all hosts."""
-    means = hosts.agg(F.sum("n").alias("all_n"), *[(F.sum(f"f_{r}") / F.sum("n")).alias(f"m_{r}") for r in RULES])
-    spread = hosts.join(F.broadcast(means)).agg(
-        *[F.max(f"m_{r}").alias(f"m_{r}") for r in RULES],
-        *[(F.sum(F.expr(f"n * pow(f_{r} / n - m_{r}, 2)")) / F.max("all_n")).alias(f"v_{r}") for r in RULES],
-    )
-    out = hosts.join(F.broadcast(spread))
+    """Adds the shrunk rate of each rule and host_ok to host counts; the priors come from two rows of sums over all hosts."""
+    sums = hosts.agg(F.sum("n").alias("n"), *[F.sum(f"f_{r}").alias(r) for r in RULES]).first()
+    total = sums["n"] or 1
+    mean = {r: (sums[r] or 0) / total for r in RULES}
+    spread = hosts.agg(*[F.sum(F.expr(f"n * pow(f_{r} / n - {mean[r]!r}D, 2)")).alias(r) for r in RULES]).first()
+    out = hosts
     for r in RULES:
-        strength = f"greatest({PRIOR_LEAST}D, least({PRIOR_MOST}D, if(v_{r} > 0, m_{r} * (1 - m_{r}) / v_{r} - 1, {PRIOR_MOST}D)))"
-        out = out.withColumn(f"rate_{r}", F.expr(f"(f_{r} + m_{r} * {strength}) / (n + {strength})"))
+        variance = (spread[r] or 0.0) / total
+        strength = max(PRIOR_LEAST, min(PRIOR_MOST, mean[r] * (1 - mean[r]) / variance - 1 if variance > 0 else PRIOR_MOST))
+        out = out.withColumn(f"rate_{r}", (F.col(f"f_{r}") + mean[r] * strength) / (F.col("n") + strength))
     worst = F.greatest(*[F.col(f"rate_{r}") for r in RULES])
     return out.select("host", "n", *[f"rate_{r}" for r in RULES], (worst <= MAX_HOST_RATE).alias("host_ok"))
 

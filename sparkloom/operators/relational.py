@@ -72,17 +72,17 @@ def range_partitioned(df: DataFrame, column: str, n: int) -> DataFrame:
     return df.repartitionByRange(n, F.col(column).asc_nulls_last()).sortWithinPartitions(F.col(column).asc_nulls_last())
 
 
-def blocks(df: DataFrame, order: str, k: int, group: str | None = None) -> DataFrame:
+def blocks(df: DataFrame, order: str, k: int) -> DataFrame:
     """Adds ``block``: k contiguous runs in order, the first ones a row longer where k does not divide the rows.
 
     Ranks come from counts of range partitions and a prefix sum over them, so no window spans the table.
     """
     ranked = with_rank(df, order)
-    total = ranked.agg(F.count("*").alias("n"))
-    n, r = F.col("n"), F.col("rank")
-    big, cut = n % k, (n % k) * (F.floor(n / k) + 1)
-    block = F.when(r < cut, F.floor(r / (F.floor(n / k) + 1))).otherwise(big + F.floor((r - cut) / F.greatest(F.floor(n / k), F.lit(1))))
-    return ranked.join(F.broadcast(total)).withColumn("block", (block + 1).cast("int")).drop("n", "rank")
+    n = ranked.count()
+    short, longer = n // k, n % k
+    cut, r = longer * (short + 1), F.col("rank")
+    block = F.when(r < cut, F.floor(r / (short + 1))).otherwise(longer + F.floor((r - cut) / max(short, 1)))
+    return ranked.withColumn("block", (block + 1).cast("int")).drop("rank")
 
 
 def with_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:

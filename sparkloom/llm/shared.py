@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 #: Upper bound of text bytes that one numpy step of an operator handles at once; a longer document is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,7 +71,7 @@ def forget_staged(spark: SparkSession) -> None:
         remove(spark, path)
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bounds what one Arrow batch to a Python worker holds, whatever the length of the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

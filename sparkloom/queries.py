@@ -252,7 +252,7 @@ r AS (SELECT p.w, p.path AS ring FROM p JOIN e ON e.w = p.w AND e.src = p.node A
 
 
 def _rings(spark: SparkSession, d: str) -> DataFrame:
-    return rings.find_rings(rings.trimmed(rings.edges(tx(spark, d), "w", "sender", "receiver")), 7)
+    return rings.find_rings(rings.trimmed(rings.edges(tx(spark, d), "w", "sender", "receiver")))
 
 
 @query(f"{_RINGS} SELECT w, array_to_string(ring, ',') AS ring FROM r")

@@ -41,6 +41,51 @@ def test_rings_of_random_graphs_agree(spark):
     assert sorted(x["ring"] for x in rings.find_rings(rings.edges(df)).collect()) == sorted(rings.rings_of(pairs, 10_000))
 
 
+def every_ring(pairs):
+    """Rings by plain search, without a bound."""
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    found = []
+
+    def walk(path):
+        for n in out.get(path[-1], ()):
+            if n == path[0]:
+                found.append(path)
+            elif n > path[0] and n not in path:
+                walk([*path, n])
+
+    for start in out:
+        walk([start])
+    return sorted(p for p in found if len(p) > 1)
+
+
+def test_rings_of_any_length(spark):
+    import random
+
+    r = random.Random(6)
+    long = [(f"n{k:02}", f"n{(k + 1) % 40:02}") for k in range(40)]
+    graphs = [long, [*long, ("n20", "n00")], *([(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(3 * n)] for n in (4, 6, 9, 10))]
+    for pairs in graphs:
+        assert list(rings.simple_rings(pairs)) == every_ring(pairs)
+    df = spark.createDataFrame([(w, *pair) for w, pairs in enumerate(graphs) for pair in pairs], "h int, s string, t string")
+    got = rings.find_rings(rings.edges(df, "h", "s", "t")).collect()
+    assert sorted((x["w"], x["ring"]) for x in got) == [(w, ring) for w, pairs in enumerate(graphs) for ring in every_ring(pairs)]
+
+
+def test_ring_queries_keep_long_rings(spark):
+    from sparkloom import queries as q
+
+    data, windows = "/root/testdata/sf0.01", {}
+    for x in rings.edges(q.tx(spark, data), "w", "sender", "receiver").collect():
+        windows.setdefault(x["w"], []).append((x["src"], x["dst"]))
+    want = {w: found for w, pairs in windows.items() if (found := every_ring(pairs))}
+    assert max(len(ring) for found in want.values() for ring in found) == 20
+    assert sorted((x["w"], x["ring"]) for x in q.ring_search(spark, data).collect()) == sorted((w, ",".join(map(str, ring))) for w, found in want.items() for ring in found)
+    assert sorted(tuple(x) for x in q.ring_counts(spark, data).collect()) == sorted((w, len(found), max(map(len, found))) for w, found in want.items())
+    assert q.ring_display_edges(spark, data).count() == sum(len(ring) - 1 for found in want.values() for ring in found)
+
+
 def test_null_and_nan_rules(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", math.nan), ("b", None), (None, 5.0), ("b", math.nan)], "k string, value double")
     assert {r["k"]: r["value"] for r in rel.group_by(df, "k", "sum").collect()} == {"a": 1.0, "b": 0.0}

@@ -20,6 +20,7 @@ import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
+from itertools import pairwise
 from math import inf
 from struct import pack
 
@@ -40,23 +41,24 @@ FALLBACK = 10.0
 Path = tuple[float, tuple[int, ...]]
 
 
-class _Firsts(dict):
-    """For a chunk: the score and packed ids of its best path, and the margin to the second."""
+#: The best path's score and packed ids, the margin to the second, and the other paths' scores and packed ids.
+Chunk = tuple[float, bytes, float, tuple[tuple[float, bytes], ...]]
+
+
+class _Chunks(dict):
+    """The N best paths of each chunk."""
 
     def __init__(self, codec: PieceCodec) -> None:
         super().__init__()
         self.codec = codec
 
-    def __missing__(self, chunk: str) -> tuple[float, bytes, float]:
+    def __missing__(self, chunk: str) -> Chunk:
         parts = self.codec.parts(chunk)
         if len(parts) > 1:
-            scores, ids, margins = zip(*map(self.__getitem__, parts), strict=True)
-            found = sum(scores), b"".join(ids), min(margins)
-            if len(self) < self.codec.most:
-                self[chunk] = found
-            return found
-        paths = self.codec._search(chunk)
-        found = paths[0][0], pack(f"<{len(paths[0][1])}I", *paths[0][1]), paths[0][0] - paths[1][0] if len(paths) > 1 else inf
+            paths = self.codec.merged(list(map(self.__getitem__, parts)))
+        else:
+            paths = [(score, pack(f"<{len(ids)}I", *ids)) for score, ids in self.codec._search(chunk)]
+        found = *paths[0], paths[0][0] - paths[1][0] if len(paths) > 1 else inf, tuple(paths[1:])
         if len(self) < self.codec.most:
             self[chunk] = found
         return found
@@ -93,8 +95,8 @@ class PieceCodec:
         self.bytes_of = {i: p.encode() for p, (_, i) in pieces.items()} | {i: bytes([b]) for b, i in byte.items()}
         self.inside = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         self.cut = re.compile(r" *[^ \n]+|\n| +(?=\n|$)")
-        self.cache: dict[str, list[Path]] = {}
-        self.firsts = _Firsts(self)
+        self.vocabulary = pa.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)], pa.large_binary())
+        self.chunks = _Chunks(self)
 
     def parts(self, chunk: str) -> list[str]:
         """A chunk cut wherever no piece has the two characters that meet: every path goes through these places."""
@@ -117,15 +119,6 @@ class PieceCodec:
                 ending[i + 1].append((i, self.fallback, tuple(self.byte[b] for b in chunk[i].encode("utf-8", "surrogatepass"))))
         return ending
 
-    def paths(self, chunk: str) -> list[Path]:
-        """The N best paths of a chunk, best first."""
-        found = self.cache.get(chunk)
-        if found is None:
-            found = self._search(chunk)
-            if len(self.cache) < self.most:
-                self.cache[chunk] = found
-        return found
-
     def _search(self, chunk: str) -> list[Path]:
         ending = self.edges(chunk)
         best = [0.0]
@@ -152,30 +145,49 @@ class PieceCodec:
             done = 0
         return [(-cost, ids) for cost, ids, _, _ in queue]
 
-    def encode(self, text: str) -> list[Path]:
-        """The N best paths of a whole text, best first: (score, ids)."""
-        chunks = self.cut.findall(f" {text}") if text else []
-        lists = list(map(self.paths, chunks))
-        top = float(sum(paths[0][0] for paths in lists))
+    def merged(self, chunks: list[Chunk]) -> list[tuple[float, bytes]]:
+        """The N best paths of neighbouring chunks, best first: (score, packed ids)."""
+        scores, ids, margins, others = zip(*chunks, strict=True)
+        top, margins = float(sum(scores)), list(margins)
         # Only the chunks whose second path costs least can change in one of the N best.
-        open_chunks = heapq.nsmallest(self.n_best - 1, ((paths[0][0] - paths[1][0], k) for k, paths in enumerate(lists) if len(paths) > 1))
         choices: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _, k in open_chunks:
-            first = lists[k][0][0]
-            choices = heapq.nsmallest(self.n_best, [(cost + first - paths_score, (*own, (k, j))) for cost, own in choices for j, (paths_score, _) in enumerate(lists[k])])
+        for _ in range(min(self.n_best - 1, len(margins))):
+            margin = min(margins)
+            if margin == inf:
+                break
+            k = margins.index(margin)
+            margins[k] = inf
+            costs = [0.0, *(scores[k] - score for score, _ in others[k])]
+            choices = heapq.nsmallest(self.n_best, [(cost + more, (*own, (k, j))) for cost, own in choices for j, more in enumerate(costs)])
         out = []
         for cost, own in choices:
-            chosen = dict(own)
-            out.append((top - cost, tuple(i for k, paths in enumerate(lists) for i in paths[chosen.get(k, 0)][1])))
+            chosen = list(ids)
+            for k, j in own:
+                if j:
+                    chosen[k] = others[k][j - 1][1]
+            out.append((top - cost, b"".join(chosen)))
         return out
 
+    def packed(self, text: str) -> list[tuple[float, bytes]]:
+        """The N best paths of a whole text, best first: (score, ids as little-endian 32-bit numbers)."""
+        return self.merged(list(map(self.chunks.__getitem__, self.cut.findall(f" {text}")))) if text else [(0.0, b"")]
+
+    def encode(self, text: str) -> list[Path]:
+        """The N best paths of a whole text, best first: (score, ids)."""
+        return [(score, tuple(np.frombuffer(ids, "<u4").tolist())) for score, ids in self.packed(text)]
+
     def best(self, text: str) -> tuple[float, bytes, float | None]:
-        """The best path as (score, ids as little-endian 32-bit numbers), and how far the second falls behind (None without one)."""
-        if not text:
-            return 0.0, b"", None
-        scores, ids, margins = zip(*map(self.firsts.__getitem__, self.cut.findall(f" {text}")), strict=True)
-        margin = min(margins)
-        return float(sum(scores)), b"".join(ids), None if margin == inf else margin
+        """The best path as (score, packed ids), and how far the second falls behind (None without one)."""
+        paths = self.packed(text)
+        return *paths[0], paths[0][0] - paths[1][0] if len(paths) > 1 else None
+
+    def decode_all(self, lists: list[bytes]) -> list[bytes]:
+        """The UTF-8 bytes that each list of packed ids stands for, with the space put before them."""
+        taken = self.vocabulary.take(pa.array(np.frombuffer(b"".join(lists), "<u4")))
+        _, ends, held = taken.buffers()
+        places = np.frombuffer(ends, np.int64, len(taken) + 1)[np.cumsum([0, *(len(ids) // 4 for ids in lists)])].tolist() if len(taken) else [0] * (len(lists) + 1)
+        data = held.to_pybytes() if held else b""
+        return [data[a:b] for a, b in pairwise(places)]
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> str:
         """The text that the ids stand for, without the space put before it."""
@@ -226,24 +238,32 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", text string")
 
 
-def op4_piece_codec(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (little-endian 32-bit ids), score of the best path, margin to the second, and decoded_ok."""
+def op4_piece_codec(docs: DataFrame, path: str | None = None, n_best: int = N_BEST) -> DataFrame:
+    """doc_id, decoded_ok (of all paths), and paths: for the N best, rank, score, n_ids, ids_crc32 (little-endian 32-bit ids) and decoded_ok."""
     if path is None:
         import public_tokenizers
 
         path = str(public_tokenizers.path("piece_bpe_32k.model"))
     small_batches(docs.sparkSession, "4m")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = {"rank": pa.int32(), "score": pa.float64(), "n_ids": pa.int64(), "ids_crc32": pa.int64(), "decoded_ok": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(path, n_best)
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
+            ends, every = [0], []
             for text in batch.column("_t").to_pylist():
-                score, ids, margin = own.best(text)
-                rows.append((len(ids) // 4, zlib.crc32(ids), score, margin, own.decode(np.frombuffer(ids, "<u4").tolist()) == text))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_ids", "ids_crc32", "score", "margin", "decoded_ok"])
-
-    return docs.select("doc_id", text_or_empty().alias("_t")).mapInArrow(run, f"doc_id {kind}, n_ids long, ids_crc32 long, score double, margin double, decoded_ok boolean")
+                paths = own.packed(text)
+                want = f" {text}".encode() if text else b""
+                oks = [found == want for found in own.decode_all([ids for _, ids in paths])]
+                rows.extend((rank, score, len(ids) // 4, zlib.crc32(ids), ok) for rank, ((score, ids), ok) in enumerate(zip(paths, oks, strict=True)))
+                ends.append(len(rows))
+                every.append(all(oks))
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            inner = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, fields.values(), strict=True)], list(fields))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(every, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)], ["doc_id", "decoded_ok", "paths"])
+
+    return docs.select("doc_id", text_or_empty().alias("_t")).mapInArrow(
+        run, f"doc_id {kind}, decoded_ok boolean, paths array<struct<rank int, score double, n_ids long, ids_crc32 long, decoded_ok boolean>>"
+    )

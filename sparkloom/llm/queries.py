@@ -30,7 +30,7 @@ def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.op4_piece_codec(table(spark, sf_dir, "documents"))
+    return piece_codec.op4_piece_codec(table(spark, sf_dir, "documents")).selectExpr("doc_id", "inline(paths)")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -267,6 +267,23 @@ def test_encoded_tables(spark, odd):
     assert piece_codec.op4_piece_codec(empty(spark)).count() == 0
 
 
+def test_piece_codec_query_gives_every_path(spark):
+    import public_tokenizers
+
+    from sparkloom.llm import queries as q
+
+    data = "/root/testdata/sf0.001"
+    codec = piece_codec.PieceCodec(str(public_tokenizers.path("piece_bpe_32k.model")))
+    want = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        for rank, (score, ids) in enumerate(codec.encode(r["text"] or "")):
+            assert codec.decode(ids) == (r["text"] or "")
+            want[r["doc_id"], rank] = (score, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+    assert {rank for _, rank in want} == {0, 1, 2}
+    got = q.op4_piece_codec(spark, data).collect()
+    assert {(r["doc_id"], r["rank"]): (r["score"], r["n_ids"], r["ids_crc32"], r["decoded_ok"]) for r in got} == want and len(got) == len(want)
+
+
 # Packing.
 
 

@@ -39,8 +39,23 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "stupid simple", "sore loser rule")
 
 
-def _folds() -> dict[int, str | None]:
-    table: dict[int, str | None] = {}
+class _Folds(dict):
+    """What each character becomes: letters, nothing (marks and format signs), or a space."""
+
+    def __missing__(self, code: int) -> str | None:
+        ch = chr(code)
+        if unicodedata.category(ch) in ("Mn", "Me", "Cf"):
+            found = None
+        else:
+            low = unicodedata.normalize("NFKD", ch.lower())
+            found = "".join(HOMOGLYPHS.get(c, c if "a" <= c <= "z" else "") for c in low) if ch.isalpha() else ""
+            found = found or " "
+        self[code] = found
+        return found
+
+
+def _folds() -> _Folds:
+    table = _Folds()
     for code in range(0x250):
         ch = chr(code)
         low = unicodedata.normalize("NFKD", ch.lower())
@@ -48,9 +63,9 @@ def _folds() -> dict[int, str | None]:
     for code in [*range(0x370, 0x530), *range(0x1E00, 0x1F00), *range(0xFF00, 0xFF60)]:
         low = unicodedata.normalize("NFKD", chr(code).lower())
         table[code] = "".join(HOMOGLYPHS.get(c, c if "a" <= c <= "z" else "") for c in low) or " "
-    table |= {ord(k): v for k, v in HOMOGLYPHS.items()}
-    table |= {ord(k): v for k, v in SUBSTITUTES.items()}
-    table |= dict.fromkeys([*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD])
+    table.update({ord(k): v for k, v in HOMOGLYPHS.items()})
+    table.update({ord(k): v for k, v in SUBSTITUTES.items()})
+    table.update(dict.fromkeys([*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0xAD]))
     return table
 
 
@@ -69,12 +84,15 @@ def folded(text: str) -> str:
 
 
 def _lone(text: str) -> str:
-    """Blanks words without any letter, and signs at the ends of words (punctuation rather than letters)."""
+    """Blanks words without any letter, and signs at the ends of words. A word that signs begin is given with and without them."""
     out = []
     for word in text.split():
         if not any(c.isalpha() for c in word):
             continue
-        out.append(word.strip("!$@"))
+        word = word.rstrip("!$@")
+        out.append(word)
+        if word[0] in "!$@":
+            out.append(word.lstrip("!$@"))
     return " ".join(out)
 
 

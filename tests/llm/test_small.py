@@ -339,6 +339,15 @@ def test_folding():
     assert toxicity.folded("1D10T, Іdіоt! ídïot 2024 i​diot") == " idiot idiot idiot idiot "
 
 
+def test_toxicity_folds_every_sign():
+    for sign in "\u201c\u201d\u2019\u2014\u2013\u2026\u2022\u3001\U0001f600":
+        assert toxicity.folded(f"so{sign}idiot{sign}he") == " so idiot he "
+    assert toxicity.folded("\u4f60idiot \U0001d422diot") == " idiot idiot "
+    lexicon = toxicity.Lexicon({" stupid": 1.0, " ass ": 1.0, " idiot ": 1.0})
+    for text in ("$tupid", "@ss", "@idiot", "!idiot!", "an \u201cidiot\u201d", "\u2014stupid"):
+        assert lexicon.mass(text)[0] == 1.0
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     clean = [" ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(40)) for _ in range(300)]

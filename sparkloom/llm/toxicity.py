@@ -11,9 +11,9 @@ no label; repeated rows are scored each; an empty table gives no rows; without l
 
 from __future__ import annotations
 
+import hashlib
 import math
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -162,9 +162,9 @@ def _terms(text: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEM_SIZES if n <= len(w)}
 
 
-def _copy_key(text: str, label: int) -> tuple[int, object]:
-    """The same for copies and most near copies: the least hash among words so long that they are rare."""
-    return label, min((zlib.crc32(w.encode()) for w in set(text.split()) if len(w) > 8), default=text)
+def _copy_key(text: str, label: int) -> tuple[int, bytes]:
+    """The same for copies only: a hash of the whole text, without case and spacing. Folding would merge texts of other scripts."""
+    return label, hashlib.sha256(" ".join(text.lower().split()).encode("utf-8", "surrogatepass")).digest()
 
 
 def train(rows: list[tuple[str, int]], exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:

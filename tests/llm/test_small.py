@@ -348,6 +348,13 @@ def test_toxicity_folds_every_sign():
         assert lexicon.mass(text)[0] == 1.0
 
 
+def test_toxicity_training_merges_copies_only():
+    rows = [(f"text {'abcdefghij'[k]} under this disclaimer", 0) for k in range(10)]
+    assert len({toxicity._copy_key(*row) for row in rows}) == 10
+    assert len({toxicity._copy_key("The  Same text", y) for y in (0, 1)} | {toxicity._copy_key("the same text", 1)}) == 2
+    assert toxicity._copy_key("你好", 0) != toxicity._copy_key("再见", 0)
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     clean = [" ".join(r.choice(WORDS) + r.choice(WORDS) for _ in range(40)) for _ in range(300)]

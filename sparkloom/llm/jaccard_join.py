@@ -1,16 +1,19 @@
-"""N-gram Jaccard join over a prefix tree, exact for any threshold.
+"""N-gram Jaccard join over prefix trees, exact for any threshold.
 
 A document is its set of distinct word shingles. All sets follow one global order: rarer classes of n-grams first (by
 counts of all n-grams of all documents, hashed to a fixed number of bins), hashes within a class. Two sets that reach
-the threshold share an n-gram early in that order, so only prefixes are compared for candidates. Candidates of one
-document are verified together: their ordered sets form a trie, walked once against the document's set; a path that
-several sets share is counted once, and a subtree is left as soon as the n-grams that remain cannot reach the
-overlap that is needed.
+the threshold share n-grams early in that order, so only these beginnings meet; sets that share enough of them are candidates.
 
-Components need no pairs inside a group that already hangs together. So documents are first tied to one star centre
-each, the one with which they share most early n-grams; then candidates are taken only between different components.
-Every candidate between components is verified, so the components are exact. Copies of a text are one node. Stars
-are cut into chunks of bounded size, lists of a common n-gram too.
+Sets that may link are brought together in cells of bounded size, and two cells are joined as a whole: the sets of one
+form a trie, each from its commonest n-gram on (the global order read backwards), so that copies share long paths.
+All sets of the other cell walk it at once, level by level: a path that several sets share is counted once, and a
+subtree is left as soon as the n-grams that remain cannot reach the overlap that is needed, or if all of its
+sets already hang together with the walker. No pair of documents is ever a row, but for the links found.
+
+Components need no pairs inside a group that already hangs together. So documents are first compared with one star
+centre each, the one with which they share most early n-grams. Then cells are made of what hangs together, and of what
+is left around a centre, and every two cells that have candidates of different components are joined. So the components are exact.
+Copies of a text are one node. Nodes are told apart by two hashes of 96 bits together.
 
 Defined cases: a null text counts as empty; texts without words link with nothing, not even with each other; fewer
 words than a shingle make one shingle; repeated rows are copies and link if they have words; a row with a null doc_id
@@ -21,6 +24,7 @@ documents of their own; an empty table gives no rows. doc_ids are below 2**62.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +32,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.llm.shared import SPACE_CLASS, boxed, byte_view, small_batches, staged, text_or_empty, unzipped, zipped
+from sparkloom.llm.shared import SPACE_CLASS, boxed, byte_view, mixed, ragged, small_batches, staged, text_or_empty, unzipped, zipped
 from sparkloom.llm.shingles import SHINGLE, shingle_sets
 
 #: n-grams are counted in this many bins, whatever the size of the corpus.
 BIN_BITS = 17
-#: Most members of a star that are verified in one piece, and most entries of one list of an n-gram.
-CHUNK = 256
+#: Bounds of a cell: sets, and n-grams of all of its sets (a longer set is a cell of its own, more or less).
+CHUNK, CHUNK_GRAMS = 128, 100_000
+#: Most cells of one n-gram in a list.
+LIST = 256
+#: Small joins of cells are done together up to so many n-grams; so many sets walk a trie at once.
+BATCH_GRAMS, WALKERS = 100_000, 32
+#: Segments of a trie are counted in pieces of at most so many n-grams.
+PIECE_GRAMS = 2_000_000
 THRESHOLD = 80
 #: Candidates share at least so many n-grams of prefixes that are longer by as many less one (or all, where fewer are needed).
 SHARED = 4
-#: Rounds of stars before the exact round.
-STAR_ROUNDS = 3
+#: Texts that a task remembers, so that a copy's n-grams are not sent again.
+KNOWN_TEXTS = 100_000
 NO_ID = 1 << 62
 
 
@@ -82,56 +92,64 @@ def _classes(facts: DataFrame) -> np.ndarray:
     return np.where(excess > 0, np.floor(np.log2(np.maximum(excess, 1))) + 1, 0).astype(np.int8)
 
 
-def _entries(docs: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
-    """(token, ka, n, at): the n-grams in the prefix of each set, with their place in the global order.
+def _lists(docs: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
+    """(ka, l): of each text, the n-grams in its prefix that another text has in its own, with their places in the global order.
 
-    Sets whose texts share ka would only become candidates for more; links are verified on texts named by both keys.
+    An n-gram that several texts of a batch have is known to be shared: the first of them meets the other batches, the rest
+    travel under keys of their own. So a common n-gram is brought together once for each batch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ka = batch.column("ka").to_numpy(zero_copy_only=False)
-            _, first = np.unique(ka, return_index=True)
+            fresh = np.zeros(len(ka), bool)
+            fresh[np.unique(ka, return_index=True)[1]] = True
+            fresh &= np.array([k not in seen for k in ka.tolist()], bool)
+            if len(seen) < KNOWN_TEXTS:
+                seen.update(ka.tolist())
             for low, high, sets, bounds in shingle_sets(*byte_view(batch.column("_t")), size):
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((sets, classes[_bins(sets)], doc))
                 at = np.arange(len(sets)) - bounds[:-1][doc]
-                keep = (at < n[doc] + (-threshold * n[doc]) // 100 + SHARED) & np.isin(doc + low, first)
-                who = doc[keep] + low
-                columns = [sets[order][keep].view(np.int64), ka[who], n[doc[keep]], at[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                keep = (at < n[doc] + (-threshold * n[doc]) // 100 + SHARED) & fresh[doc + low]
+                token, who = sets[order][keep], ka[doc[keep] + low]
+                by = np.argsort(token, kind="stable")
+                same = token[by][1:] == token[by][:-1]
+                salt = np.zeros(len(token), np.int64)
+                salt[by[:-1][same]] = 1
+                salt[by[1:][same]] = 2 + (mixed(who[by[1:][same]].view(np.uint64)) & np.uint64(0x3FF)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (token.view(np.int64), who, at[keep], salt)], names)
 
-    names = ["token", "ka", "n", "at"]
-    schema = ", ".join(f"{c} long" for c in names)
-    dealt = docs.mapInArrow(run, schema).repartition("token").sortWithinPartitions("token", "ka")
-    return dealt.mapInArrow(_shared, schema)
+    names = ["token", "ka", "at", "salt"]
+    dealt = docs.mapInArrow(run, ", ".join(f"{c} long" for c in names)).repartition("token", F.greatest("salt", F.lit(1))).sortWithinPartitions("token", "ka")
+    shared = dealt.mapInArrow(_shared, "token long, ka long, at long")
+    return shared.groupBy("ka").agg(F.collect_set(F.struct("token", "at")).alias("l"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of entries sorted by token and key: those whose token another key has too. Streams; holds one row back."""
+    """Of entries sorted by token and key: those whose token another key has too, or is known to have. Streams; holds one row back."""
+    names = ["token", "ka", "at"]
     held: np.ndarray | None = None
     told = True
-    names: list[str] = []
     for batch in batches:
-        names = batch.schema.names
         rows = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         if held is not None:
             rows = np.vstack([held, rows])
         if not len(rows):
             continue
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        rows = rows[fresh]
         same = rows[1:, 0] == rows[:-1, 0]
-        wanted = np.zeros(len(rows), bool)
-        wanted[1:] |= same
-        wanted[:-1] |= same
+        other = same & (rows[1:, 1] != rows[:-1, 1])
+        wanted = rows[:, 3] > 0
+        # Rows of one token and key stand together; the run's last row is marked by the next key, the next key's first by the one before.
+        wanted[1:] |= other
+        wanted[:-1] |= other
         out = wanted.copy()
         if held is not None and told:
             out[0] = False
         last_told = bool(out[-1]) or (len(rows) == 1 and held is not None and told)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows[out].T], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows[out][:, :3].T], names)
         held, told = rows[-1:], last_told
 
 
@@ -140,167 +158,248 @@ def need_sql(a: str, b: str, threshold: int) -> str:
     return f"(({threshold} * ({a} + {b}) + {99 + threshold}) div {100 + threshold})"
 
 
+def needed(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
+    return (threshold * (a + b) + 99 + threshold) // (100 + threshold)
+
+
 def can_link(a: str, b: str, threshold: int) -> str:
     """SQL: the token at these places may be among the first SHARED that two linked sets share."""
     need = need_sql(f"{a}.n", f"{b}.n", threshold)
     return f"({a}.at + {need} < {a}.n + {SHARED} and {b}.at + {need} < {b}.n + {SHARED})"
 
 
-class Trie:
-    """Ordered sets as a path-compressed prefix tree, built by sorting; :meth:`overlaps` walks it once."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
-        self.order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">i4").tobytes())
-
-    def overlaps(self, inside: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """For each set, its overlap with the query, or -1 where the walk stopped since ``need`` is out of reach.
-
-        ``inside`` tells for each token, numbered in global order, whether the query has it.
-        """
-        after = np.concatenate([np.cumsum(inside[::-1])[::-1], [0]])  # query tokens from each place on
-        out = np.full(len(self.sets), -1, np.int64)
-        stack = [(0, len(self.order), 0, 0)]
-        while stack:
-            low, high, depth, overlap = stack.pop()
-            group = self.order[low:high]
-            first, last = self.sets[group[0]], self.sets[group[-1]]
-            least = min(len(first), len(last))
-            differ = np.flatnonzero(first[depth:least] != last[depth:least])
-            end = depth + int(differ[0]) if len(differ) else least
-            overlap += int(inside[first[depth:end]].sum())
-            longest = max(len(self.sets[k]) for k in group)
-            left = min(longest - end, int(after[first[end - 1] + 1]) if end else int(after[0]))
-            if overlap + left < min(int(need[k]) for k in group):
-                continue
-            at = low
-            while at < high and len(self.sets[self.order[at]]) == end:
-                out[self.order[at]] = overlap
-                at += 1
-            while at < high:
-                token = self.sets[self.order[at]][end]
-                stop = at + 1
-                while stop < high and self.sets[self.order[stop]][end] == token:
-                    stop += 1
-                stack.append((at, stop, end, overlap))
-                at = stop
-        return out
-
-
-def linked(query: np.ndarray, members: list[np.ndarray], classes: np.ndarray, threshold: int) -> list[bool]:
-    """Which members reach the threshold with the query; sets of hashes, in any order."""
-    every = np.concatenate([query, *members])
-    tokens, number = np.unique(every, return_inverse=True)
+class Forest:
+    """One path-compressed prefix tree for each group of ordered sets (ascending token numbers), built by sorting.
+
+    Nodes below ``len(sets)`` are leaves, one for each set; the others are the places where paths part. A node's segment
+    is what its path has beyond its parent's. ``order`` tells which set a leaf stands for.
+    """
+
+    def __init__(self, sets: list[np.ndarray], groups: list[int]) -> None:
+        m = len(sets)
+        self.order = sorted(range(m), key=lambda k: (groups[k], sets[k].astype(">i4").tobytes()))
+        own = [sets[k] for k in self.order]
+        low, high, depth, parent = list(range(m)), list(range(1, m + 1)), [len(s) for s in own], [-1] * m
+        self.roots: dict[int, int] = {}
+        open_nodes: list[int] = []
+        for k, (a, b) in enumerate(pairwise([*self.order, -1])):
+            part = -1
+            if b >= 0 and groups[a] == groups[b]:
+                least = min(len(own[k]), len(own[k + 1]))
+                differ = own[k][:least] != own[k + 1][:least]
+                part = int(differ.argmax()) if differ.any() else least
+            last = k
+            while open_nodes and depth[open_nodes[-1]] > part:
+                parent[last] = last = open_nodes.pop()
+                high[last] = k + 1
+            if part < 0:
+                self.roots[groups[a]] = last
+            elif open_nodes and depth[open_nodes[-1]] == part:
+                parent[last] = open_nodes[-1]
+            else:
+                open_nodes.append(len(depth))
+                parent[last] = len(depth)
+                low.append(low[last])
+                high.append(0)
+                depth.append(part)
+                parent.append(-1)
+        self.low, self.high, self.depth, self.parent = (np.array(x, np.int64) for x in (low, high, depth, parent))
+        start = np.where(self.parent < 0, 0, self.depth[self.parent])
+        self.size = self.depth - start
+        self.tokens = np.concatenate([own[a][s:d] for a, s, d in zip(low, start.tolist(), depth, strict=True)])
+        self.head = np.cumsum(self.size) - self.size
+        self.last = np.array([own[a][d - 1] if d else -1 for a, d in zip(low, depth, strict=True)], np.int64)
+        length = self.depth[:m]
+        self.least, self.most = self.over(np.minimum, length), self.over(np.maximum, length)
+        self.children = np.argsort(self.parent, kind="stable")
+        self.first_child = np.searchsorted(self.parent[self.children], np.arange(len(depth)))
+        self.n_children = np.bincount(self.parent[self.parent >= 0], minlength=len(depth))
+
+    def over(self, how: np.ufunc, values: np.ndarray) -> np.ndarray:
+        """For each node, ``how`` over the values of its leaves (in their order)."""
+        return how.reduceat(np.append(values, values[-1:]), np.column_stack([self.low, self.high]).ravel())[::2]
+
+    def walked(self, walkers: list[np.ndarray], roots: list[int], comp: np.ndarray, leaf_comp: np.ndarray, n_tokens: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """(walker, leaf) of all that reach the threshold and have different ``comp``; all walkers go down together, level by level."""
+        sizes = np.array([len(w) for w in walkers], np.int64)
+        keys = np.concatenate([w + k * n_tokens for k, w in enumerate(walkers)])
+        begin = np.cumsum(sizes) - sizes
+        inside = np.zeros(len(walkers) * n_tokens, bool)
+        inside[keys] = True
+        low, high = self.over(np.minimum, leaf_comp), self.over(np.maximum, leaf_comp)
+        who, node, overlap = np.arange(len(walkers)), np.array(roots, np.int64), np.zeros(len(walkers), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(who):
+            go = (low[node] != comp[who]) | (high[node] != comp[who])
+            who, node, overlap = who[go], node[go], overlap[go]
+            size = self.size[node]
+            for a, b in _pieces(size):
+                owner, at = ragged(self.head[node[a:b]], size[a:b])
+                overlap[a:b] += np.bincount(owner[inside[who[a:b][owner] * n_tokens + self.tokens[at]]], minlength=b - a)
+            passed = np.searchsorted(keys, who * n_tokens + self.last[node], side="right") - begin[who]
+            left = np.minimum(sizes[who] - passed, self.most[node] - self.depth[node])
+            go = overlap + left >= needed(sizes[who], self.least[node], threshold)
+            who, node, overlap = who[go], node[go], overlap[go]
+            leaf = node < len(self.order)
+            found.append((who[leaf], node[leaf]))
+            who, node, overlap = who[~leaf], node[~leaf], overlap[~leaf]
+            owner, at = ragged(self.first_child[node], self.n_children[node])
+            who, node, overlap = who[owner], self.children[at], overlap[owner]
+        return np.concatenate([f[0] for f in found] or [who]), np.concatenate([f[1] for f in found] or [node])
+
+
+def _pieces(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges whose sizes add up to PIECE_GRAMS at most, or of one element."""
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE_GRAMS, side="right")))
+        yield first, last
+        first = last
+
+
+Member = tuple[int, int, int, np.ndarray]
+
+
+def tied(members: list[Member], classes: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """Links between components that hang together through sets of one group; enough of them, not all.
+
+    ``members`` are (group, side, component, set of hashes); sets of side 0 walk those of side 1, sets of side 2 are both.
+    """
+    tokens, number = np.unique(np.concatenate([m[3] for m in members]), return_inverse=True)
     rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, classes[_bins(tokens)]))] = np.arange(len(tokens))
+    rank[np.lexsort((tokens, classes[_bins(tokens)]))[::-1]] = np.arange(len(tokens))
     number = rank[number]
-    inside = np.zeros(len(tokens), bool)
-    inside[number[: len(query)]] = True
-    bounds = np.cumsum([len(query), *(len(m) for m in members)])
-    sets = [np.sort(number[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-    need = np.array([(threshold * (len(query) + len(m)) + 99 + threshold) // (100 + threshold) for m in members])
-    return (Trie(sets).overlaps(inside, need) >= need).tolist()
-
-
-def _verified(blobs: DataFrame, pairs: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: node numbers) that reach the threshold; ``blobs`` has the texts (node, _z)."""
-    n_chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    dealt = staged(pairs.join(n_chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")), "pairs")
-    uses = dealt.select(F.col("b").alias("node"), "a", "chunk", F.col("b").alias("member"))
-    uses = uses.unionAll(dealt.select("a", "chunk").distinct().select(F.col("a").alias("node"), "a", "chunk", F.lit(None).cast("long").alias("member")))
-    found = blobs.join(uses, "node").select("a", "chunk", "member", "_z")
-    found = found.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("member").asc_nulls_first())
+    bounds = np.cumsum([0, *(len(m[3]) for m in members)])
+    sets = [np.sort(number[a:b]) for a, b in pairwise(bounds)]
+    leaves = [k for k, m in enumerate(members) if m[1]]
+    groups = {m[0] for k, m in enumerate(members) if m[1]}
+    walkers = [k for k, m in enumerate(members) if m[1] != 1 and m[0] in groups]
+    if not walkers:
+        return []
+    forest = Forest([sets[k] for k in leaves], [members[k][0] for k in leaves])
+    _, comp = np.unique(np.array([m[2] for m in members], np.int64), return_inverse=True)
+    name = {c: m[2] for c, m in zip(comp.tolist(), members, strict=True)}
+    at_leaf = np.array([leaves[k] for k in forest.order])
+    links = []
+    for a in range(0, len(walkers), WALKERS):
+        some = walkers[a : a + WALKERS]
+        who, leaf = forest.walked([sets[k] for k in some], [forest.roots[members[k][0]] for k in some], comp[some], comp[at_leaf], len(tokens), threshold)
+        into = np.arange(len(name))
+        for x, y in np.unique(np.column_stack([comp[some][who], comp[at_leaf][leaf]]), axis=0).tolist():
+            while into[x] != x:
+                x = into[x]
+            while into[y] != y:
+                y = into[y]
+            if x != y:
+                into[max(x, y)] = min(x, y)
+                links.append((name[x], name[y]))
+        while (into[into] != into).any():
+            into = into[into]
+        comp = into[comp]
+    return links
+
+
+def _joined(uses: DataFrame, texts: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
+    """(a, b): links between components within groups. ``uses``: ga and gb name a group; node, side and comp; ``texts``: node, _z."""
+    found = texts.join(uses, "node").select("ga", "gb", "side", "comp", "_z").repartition("ga", "gb").sortWithinPartitions("ga", "gb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, query, members = None, None, {}
+        held: list[Member] = []
+        now, group, grams = None, 0, 0
 
         def close() -> pa.RecordBatch:
-            hits = []
-            if query is not None and members:
-                hits = [b for b, ok in zip(members, linked(query, list(members.values()), classes, threshold), strict=True) if ok]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["a", "b"])
+            columns = list(zip(*tied(held, classes, threshold), strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("a", "chunk", "member")]
-            texts = pa.array(unzipped(batch.column("_z")), pa.binary())
-            for first, last, sets, bounds in shingle_sets(*byte_view(texts), size):
+            ga, gb, side, comp = (batch.column(c).to_pylist() for c in ("ga", "gb", "side", "comp"))
+            for first, last, sets, bounds in shingle_sets(*byte_view(pa.array(unzipped(batch.column("_z")), pa.binary())), size):
                 for k in range(first, last):
-                    own = sets[bounds[k - first] : bounds[k - first + 1]]
-                    now = (columns[0][k], columns[1][k])
-                    if now != key:
-                        if members:
+                    if now != (ga[k], gb[k]):
+                        if grams > BATCH_GRAMS:
                             yield close()
-                        key, query, members = now, None, {}
-                    if columns[2][k] is None:
-                        query = own.copy()
-                    else:
-                        members[columns[2][k]] = own.copy()
-        if members:
+                            held, grams = [], 0
+                        now, group = (ga[k], gb[k]), group + 1
+                    held.append((group, side[k], comp[k], sets[bounds[k - first] : bounds[k - first + 1]].copy()))
+                    grams += len(held[-1][3])
+        if held:
             yield close()
 
     return found.mapInArrow(run, "a long, b long")
 
 
-def _star_pairs(entries: DataFrame, turn: int, threshold: int) -> DataFrame:
-    """(a, b): each node b with the star centre a of another component that shares most of its early tokens.
+def _chunked(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, n) with chunk: a hash of node modulo as many chunks as keep each within the bounds of a cell."""
+    n_chunks = rows.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_GRAMS)).alias("chunks"))
+    return rows.join(n_chunks, key).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks"))).drop("chunks")
+
+
+def _stars(entries: DataFrame, threshold: int) -> DataFrame:
+    """(a, node, n): each node with the star centre a that shares most of its early tokens. Every token has one centre."""
+    lead = entries.groupBy("token").agg(F.min_by(F.struct("node", "n", "at"), F.xxhash64("node")).alias("c"))
+    may = entries.alias("e").join(lead.select("token", "c.*").alias("c"), "token").where(f"c.node <> e.node and {can_link('c', 'e', threshold)}")
+    shared = may.groupBy(F.col("c.node").alias("a"), "e.node").agg(F.count("*").alias("k"), F.first("c.n").alias("na"), F.first("e.n").alias("n"))
+    shared = shared.where(f"k >= least({SHARED}, {need_sql('na', 'n', threshold)})")
+    return shared.groupBy("node").agg(F.max_by("a", F.struct("k", F.expr("-a"))).alias("a"), F.first("n").alias("n"))
+
+
+def _cell_pairs(entries: DataFrame, threshold: int) -> DataFrame:
+    """(ga, gb): cells with sets of different components that may link, a cell with itself too. ``entries``: token, cell, comp, n, at.
 
-    Every token has one centre, another in each turn.
+    In a cell's row for a token, ``least`` is the size of its smallest set, and ``most`` bounds the sizes of the sets that any
+    of its sets may link with on account of this token.
     """
-    lead = entries.groupBy("token").agg(F.min_by(F.struct("node", "n", "at", "component"), F.xxhash64("component", "node", F.lit(turn))).alias("c"))
-    may = entries.alias("e").join(lead.select("token", "c.*").alias("c"), "token").where(f"c.component <> e.component and {can_link('c', 'e', threshold)}")
-    shared = may.groupBy(F.col("c.node").alias("a"), F.col("e.node").alias("b")).agg(F.count("*").alias("k"), F.first("c.n").alias("na"), F.first("e.n").alias("nb"))
-    shared = shared.where(f"k >= least({SHARED}, {need_sql('na', 'nb', threshold)})")
-    return shared.groupBy("b").agg(F.max_by("a", F.struct("k", F.expr("-a"))).alias("a")).select("a", "b")
-
-
-def _cross_pairs(entries: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): all nodes of different components that may link, from lists of bounded size of each token and component."""
-    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low < high")
-    dealt = entries.join(mixed.select("token", F.ceil(F.col("k") / CHUNK).alias("chunks")), "token")
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
-    lists = dealt.groupBy("token", "component", "chunk").agg(F.collect_list(F.struct("node", "n", "at")).alias("l"))
-    a = lists.select("token", F.col("component").alias("ca"), F.col("l").alias("la"))
-    b = lists.select("token", F.col("component").alias("cb"), F.col("l").alias("lb"))
-    pair = f"struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b, {need_sql('x.n', 'y.n', threshold)} as need)"
-    hits = f"flatten(transform(la, x -> transform(filter(lb, y -> {can_link('x', 'y', threshold)}), y -> {pair})))"
-    met = a.join(b, "token").where("ca < cb").select(F.explode(F.expr(hits)).alias("h"))
-    return met.groupBy("h.a", "h.b").agg(F.count("*").alias("k"), F.first("h.need").alias("need")).where(f"k >= least({SHARED}, need)").select("a", "b")
+    reach = f"({100 + threshold} * (n + {SHARED - 1} - at)) div {threshold} - n"
+    each = entries.groupBy("token", "cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max(F.expr(reach)).alias("most"))
+    mixed_tokens = each.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("k")).where("low < high").select("token", F.ceil(F.col("k") / LIST).alias("chunks"))
+    dealt = each.join(mixed_tokens, "token").withColumn("chunk", F.pmod(F.col("cell"), F.col("chunks")))
+    lists = dealt.groupBy("token", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("cell", "low", "high", "least", "most")).alias("l"))
+    may = "(x.low <> y.low or x.high <> y.high or x.low <> x.high) and x.least <= y.most and y.least <= x.most"
+    pair = f"struct(least(x.cell, y.cell) as ga, greatest(x.cell, y.cell) as gb, {need_sql('x.least', 'y.least', threshold)} as need)"
+    within = lists.select(F.explode(F.expr(f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 1, size(l)), y -> {may}), y -> {pair})))")).alias("h"))
+    long = lists.where("chunks > 1")
+    one, two = (long.select("token", F.col("chunk").alias(f"c{s}"), F.col("l").alias(f"l{s}")) for s in "ab")
+    between = one.join(two, "token").where("ca < cb").select(F.explode(F.expr(f"flatten(transform(la, x -> transform(filter(lb, y -> {may}), y -> {pair})))")).alias("h"))
+    return within.unionAll(between).groupBy("h.ga", "h.gb").agg(F.count("*").alias("k"), F.min("h.need").alias("need")).where(f"k >= least({SHARED}, need)").select("ga", "gb")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, ka, kb, n_shingles, component and component_id of every row.
 
     A component is what links of the threshold tie together; component_id is its least doc_id. ka and kb are hashes of the
-    row's text, and component is the hash of one of its texts (null without words). Copies of a text have one component.
+    row's text, and component is the number of one of its texts (null without words). Copies of a text have one component.
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t")).select("doc_id", "_t", *_key())
     facts = staged(_facts(own, size), "shingle-facts")
     classes = _classes(facts)
     rows = facts.where("bin is null").select("doc_id", "ka", "kb", "n")
-    nodes = rows.where("n > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("least")).select("ka", "kb", F.col("ka").alias("node"), "least", F.coalesce("least", F.lit(-1)).alias("pick"))
-    nodes = staged(nodes, "nodes")
-    entries = _entries(own.select("_t", "ka"), classes, size, threshold).join(nodes.select("ka", "node"), "ka").select("token", "node", "n", "at")
-    # A node with a partner shares SHARED tokens, or all that it must share.
-    entries = staged(entries, "entries")
-    enough = entries.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(f"k >= least({SHARED}, ({threshold} * n + 99) div 100)").select("node")
-    enough = staged(enough, "candidates")
-    entries = staged(entries.join(enough, "node"), "entries")
-    wanted = nodes.join(enough, "node").select("node", "ka", "kb", "pick")
-    texts = zipped(own.select("_t", "ka", "kb", F.coalesce("doc_id", F.lit(-1)).alias("pick")).where("_t <> ''"))
-    blobs = staged(texts.join(wanted, ["ka", "kb", "pick"]).select("node", "_z").dropDuplicates(["node"]), "texts")
-    links = None
-    tied = None
-    for turn in range(STAR_ROUNDS + 1):
-        if tied is None:
-            placed = entries.withColumn("component", F.col("node"))
-        else:
-            placed = entries.join(tied, "node", "left").select("token", "node", "n", "at", F.coalesce("component", "node").alias("component"))
-        pairs = _star_pairs(placed, turn, threshold) if turn < STAR_ROUNDS else _cross_pairs(placed, threshold)
-        found = staged(_verified(blobs, pairs, classes, size, threshold), "verified")
-        links = found if tied is None else tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(found)
-        tied = components(links)
-    ids = staged(nodes.join(tied, "node", "left").select("ka", "kb", "least", F.coalesce("component", "node").alias("component")), "components")
+    nodes = rows.where("n > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "ka", "kb", "n", "least", F.coalesce("least", F.lit(-1)).alias("pick")), "nodes")
+    # A node with a partner shares SHARED tokens, or all that it must share. Two texts with one ka would get both texts' tokens, which only adds candidates.
+    lists = _lists(own.select("_t", "ka"), classes, size, threshold).join(nodes, "ka").where(f"size(l) >= least({SHARED}, ({threshold} * n + 99) div 100)")
+    lists = staged(lists.select("node", "n", "ka", "kb", "pick", "l"), "prefixes")
+    copies = zipped(own.select("_t", "ka", "kb", F.coalesce("doc_id", F.lit(-1)).alias("pick")).where("_t <> ''"))
+    texts = staged(copies.join(lists.select("node", "ka", "kb", "pick"), ["ka", "kb", "pick"]).select("node", "_z").dropDuplicates(["node"]), "texts")
+
+    stars = staged(_stars(lists.select("node", "n", F.inline("l")), threshold), "stars")
+    arms = _chunked(stars, "a").select(F.col("a").alias("ga"), F.col("chunk").alias("gb"), "node", F.lit(1).alias("side"))
+    centres = arms.select("ga", "gb", F.col("ga").alias("node"), F.lit(0).alias("side")).distinct()
+    first = components(_joined(arms.unionAll(centres).withColumn("comp", F.col("node")), texts, classes, size, threshold))
+
+    placed = lists.select("node", "n").join(first, "node", "left").join(stars.select("node", "a"), "node", "left")
+    base = F.when(F.col("component").isNotNull(), F.col("component") * 2).otherwise(F.coalesce("a", "node") * 2 + 1)
+    placed = _chunked(placed.select("node", "n", F.coalesce("component", "node").alias("comp"), base.alias("base")), "base")
+    placed = staged(placed.select("node", "n", "comp", F.xxhash64("base", "chunk").alias("cell")), "cells")
+    entries = lists.select("node", "l").join(placed, "node").select("n", "comp", "cell", F.inline("l"))
+    pairs = staged(_cell_pairs(entries, threshold), "cell-pairs")
+    uses = pairs.select("ga", "gb", F.col("ga").alias("cell"), F.expr("if(ga = gb, 2, 0)").alias("side")).unionAll(pairs.where("ga <> gb").select("ga", "gb", F.col("gb").alias("cell"), F.lit(1).alias("side")))
+    found = _joined(uses.join(placed, "cell").select("ga", "gb", "side", "node", "comp"), texts, classes, size, threshold)
+    last = components(found).select(F.col("node").alias("comp"), "component")
+
+    held = placed.select("node", "comp").join(last, "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))
+    ids = staged(nodes.join(held, "node", "left").select("ka", "kb", "least", F.coalesce("component", "node").alias("component")), "components")
     least = ids.groupBy("component").agg(F.min("least").alias("least"))
     ids = ids.select("ka", "kb", "component").join(least, "component")
     out = rows.join(ids, ["ka", "kb"], "left")

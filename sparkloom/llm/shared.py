@@ -183,3 +183,9 @@ def unzipped(blobs: pa.Array) -> list[bytes]:
 
     unpack = zstandard.ZstdDecompressor().decompress
     return [unpack(b.as_buffer()) for b in blobs]
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of ``sizes`` from ``starts``: which range each element belongs to, and the elements, all in a row."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]

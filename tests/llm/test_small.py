@@ -122,18 +122,56 @@ def test_one_of_each(spark, odd):
     assert jaccard_join.one_of_each(empty(spark)).count() == 0
 
 
-def test_trie_overlaps():
-    r = random.Random(2)
-    for _ in range(50):
-        query = np.array(sorted(r.sample(range(60), 20)))
-        sets = [np.array(sorted(r.sample(range(60), r.randrange(1, 30)))) for _ in range(12)]
-        inside = np.zeros(60, bool)
-        inside[query] = True
-        need = np.array([r.randrange(1, 20) for _ in sets])
-        got = jaccard_join.Trie(sets).overlaps(inside, need)
-        for s, g, n in zip(sets, got, need, strict=True):
-            real = int(inside[s].sum())
-            assert g == real or (g == -1 and real < n)
+def reached(links):
+    """Each end of the links with the least end that it can reach."""
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def test_trie_join_against_all_pairs():
+    r = random.Random(1)
+    classes = np.zeros(1 << jaccard_join.BIN_BITS, np.int8)
+    classes[::7] = 3
+    for _ in range(120):
+        members = []
+        for group in range(r.randrange(1, 5)):
+            base = [r.getrandbits(64) for _ in range(r.randrange(1, 40))]
+            for _ in range(r.randrange(1, 50 if group == 3 else 12)):
+                own = {x for x in base if r.random() < r.choice([0.85, 0.95, 1])} or {1}
+                own |= {r.getrandbits(64) for _ in range(r.randrange(4))}
+                members.append((group, r.randrange(3), r.randrange(30), np.array(sorted(own), np.uint64)))
+        want = []
+        for a, b in itertools.permutations(members, 2):
+            x, y = set(a[3].tolist()), set(b[3].tolist())
+            if a[0] == b[0] and a[1] != 1 and b[1] and a[2] != b[2] and 100 * len(x & y) >= 80 * len(x | y):
+                want.append((a[2], b[2]))
+        assert reached(jaccard_join.tied(members, classes, 80)) == reached(want)
+
+
+@pytest.mark.parametrize("bound", [2, 128])
+def test_jaccard_groups_beyond_every_bound(spark, monkeypatch, bound):
+    """Cells, lists and batches of two: a group of near copies is cut everywhere, and stays whole."""
+    for name in ("CHUNK", "LIST", "WALKERS", "BATCH_GRAMS", "PIECE_GRAMS", "KNOWN_TEXTS"):
+        monkeypatch.setattr(jaccard_join, name, bound)
+    r = random.Random(bound)
+    texts, base = [], prose(19, 50).split()
+    for k in range(90):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+            words[r.randrange(len(words))] = f"w{r.randrange(10)}"
+        texts.append((k, " ".join(words)))
+    got = sorted((tuple(x) for x in jaccard_join.op10_jaccard_join(documents(spark, texts)).collect()), key=str)
+    assert got == brute_components(texts)
 
 
 def test_shingles_match_python():

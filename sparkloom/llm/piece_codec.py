@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding with the N best segmentations.
 
 A text is prefixed by a space, spaces become the mark of the piece alphabet, and every way to cut it into pieces is
-a path through a lattice; a path's score is the sum of its pieces' scores. A character without a piece, or the mark
-itself, falls back to its bytes. The forward Viterbi pass finds the best score from the start to each place. They
+a path through a lattice; a path's score is the sum of its pieces' scores, as the model file gives them. A character without a piece,
+or the mark itself, falls back to its bytes. The forward Viterbi pass finds the best score from the start to each place. They
 are exact heuristics for an A* search from the end backwards, so paths come off its queue best first, without detours.
+In a BPE model the scores are minus the ranks of merges: the best path is the best sum of them, not the order of merges, so its ids
+are not those that the model's own greedy encoder gives. Decoding is the same for both.
 
-No piece has the mark after another character, nor a line feed. So the lattice has a cut there, and the N best paths of a text
-are the N best choices of paths for its chunks. Chunks recur; their paths are kept in a bounded cache. Ties
+Where no piece has the two characters that meet, every path goes through. So the lattice is cut there, and the N best paths of a
+text are the N best choices of paths for its parts. Parts recur: a batch's distinct parts are looked up in a table of
+bounded size, and searched if they are new; a text's scores, ids and bytes are then put together from the table by array steps. Ties
 are broken alike every time.
 
 Defined cases: a null text is empty; an empty text has one path, without pieces; decoding an encoded text gives the text back,
@@ -16,58 +19,91 @@ for every text; repeated rows are encoded each; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
+from array import array
 from bisect import insort
 from collections.abc import Iterator
 from itertools import pairwise
 from math import inf
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import small_batches, text_or_empty
+from sparkloom.llm.shared import byte_view, ragged, small_batches, steps, text_or_empty
 
 MARK = "▁"
 N_BEST = 3
-#: Most chunks that a worker keeps.
-MOST_CHUNKS = 250_000
+#: Most parts that a worker's table keeps, and most ids of all of their paths.
+MOST_PARTS, MOST_IDS = 600_000, 12_000_000
+#: Bytes of text that are put together at once; a longer text is put together alone.
+STEP = 2_000_000
 #: A byte fallback scores this much below the worst piece.
 FALLBACK = 10.0
+#: Pairs of characters inside pieces are marked in a table of this many hashes.
+PAIR_BITS = 20
 
 Path = tuple[float, tuple[int, ...]]
 
 
-#: The best path's score and packed ids, the margin to the second, and the other paths' scores and packed ids.
-Chunk = tuple[float, bytes, float, tuple[tuple[float, bytes], ...]]
-
-
-class _Chunks(dict):
-    """The N best paths of each chunk."""
+class Parts:
+    """Paths of parts of texts, best first, in flat arrays: a slot for each part, a run of paths for each slot, a run of ids for each path."""
 
     def __init__(self, codec: PieceCodec) -> None:
-        super().__init__()
         self.codec = codec
-
-    def __missing__(self, chunk: str) -> Chunk:
-        parts = self.codec.parts(chunk)
-        if len(parts) > 1:
-            paths = self.codec.merged(list(map(self.__getitem__, parts)))
-        else:
-            paths = [(score, pack(f"<{len(ids)}I", *ids)) for score, ids in self.codec._search(chunk)]
-        found = *paths[0], paths[0][0] - paths[1][0] if len(paths) > 1 else inf, tuple(paths[1:])
-        if len(self) < self.codec.most:
-            self[chunk] = found
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[bytes, int] = {}
+        self.first, self.start = array("q", [0]), array("q", [0])
+        self.score, self.ids = array("d"), array("I")
+        self.uses = np.zeros(0, np.int64)
+
+    def _add(self, key: bytes, paths: list[Path]) -> None:
+        self.slot[key] = len(self.slot)
+        for score, ids in paths:
+            self.score.append(score)
+            self.ids.extend(ids)
+            self.start.append(len(self.ids))
+        self.first.append(len(self.score))
+
+    def slots(self, keys: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """The slots of distinct parts (UTF-32), new ones searched for; ``counts`` tells how often each is used."""
+        if len(self.slot) > self.codec.most or len(self.ids) > MOST_IDS:
+            self._shrink()
+        for key in keys:
+            if key not in self.slot:
+                self._add(key, self.codec._search(key.decode("utf-32-le", "surrogatepass")))
+        found = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+        grown = np.zeros(len(self.slot), np.int64)
+        grown[: len(self.uses)] = self.uses
+        grown[found] += counts
+        self.uses = grown
         return found
 
+    def _shrink(self) -> None:
+        """Keeps a quarter of the parts, the most used ones; uses count half from then on."""
+        kept = np.zeros(len(self.uses), bool)
+        kept[np.argsort(-self.uses, kind="stable")[: min(self.codec.most, len(self.uses)) // 4]] = True
+        old, uses = (self.slot, self.first, self.start, self.score, self.ids), self.uses[kept] // 2
+        self._clear()
+        slot, first, start, score, ids = old
+        for key, k in slot.items():
+            if kept[k]:
+                self._add(key, [(score[p], tuple(ids[start[p] : start[p + 1]])) for p in range(first[k], first[k + 1])])
+        self.uses = uses
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """first, start, score and ids, as they are now; to be let go before parts are added."""
+        kinds = zip((self.first, self.start, self.score, self.ids), (np.int64, np.int64, np.float64, np.uint32), strict=True)
+        return tuple(np.frombuffer(a, kind) if len(a) else np.zeros(0, kind) for a, kind in kinds)
+
 
 class PieceCodec:
     """Encodes and decodes with the pieces and scores of a SentencePiece model file."""
 
-    def __init__(self, path: str, n_best: int = N_BEST, most: int = MOST_CHUNKS) -> None:
+    def __init__(self, path: str, n_best: int = N_BEST, most: int = MOST_PARTS) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -78,7 +114,7 @@ class PieceCodec:
         self._set({model.id_to_piece(i).replace(MARK, " "): (model.get_score(i), i) for i in plain}, byte)
 
     @classmethod
-    def of(cls, pieces: dict[str, tuple[float, int]], byte: dict[int, int], n_best: int = N_BEST, most: int = MOST_CHUNKS) -> PieceCodec:
+    def of(cls, pieces: dict[str, tuple[float, int]], byte: dict[int, int], n_best: int = N_BEST, most: int = MOST_PARTS) -> PieceCodec:
         """A codec over given pieces (with spaces for marks): text to (score, id), and byte to id."""
         made = cls.__new__(cls)
         made.n_best, made.most = n_best, most
@@ -86,47 +122,47 @@ class PieceCodec:
         return made
 
     def _set(self, pieces: dict[str, tuple[float, int]], byte: dict[int, int]) -> None:
-        if any(re.search(r"[^ ] |\n.|.\n", p) for p in pieces):
-            raise ValueError("a piece crosses the lattice's cuts")
         self.pieces, self.byte = pieces, byte
         #: All beginnings of pieces; for those that are pieces, their score and ids.
         self.prefixes: dict[str, tuple] = {p[:k]: () for p in pieces for k in range(1, len(p) + 1)} | {p: (s, (i,)) for p, (s, i) in pieces.items()}
         self.fallback = min((s for s, _ in pieces.values() if s > -1e8), default=0.0) - FALLBACK
         self.bytes_of = {i: p.encode() for p, (_, i) in pieces.items()} | {i: bytes([b]) for b, i in byte.items()}
-        self.inside = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
-        self.cut = re.compile(r" *[^ \n]+|\n| +(?=\n|$)")
+        pairs = np.array([(ord(p[k]), ord(p[k + 1])) for p in pieces for k in range(len(p) - 1)], np.uint32).reshape(-1, 2)
+        #: Pairs that share a hash with one inside a piece count as inside too: that only makes longer parts.
+        self.inside = np.zeros(1 << PAIR_BITS, bool)
+        self.inside[self._pair(pairs[:, 0], pairs[:, 1])] = True
         self.vocabulary = pa.array([self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)], pa.large_binary())
-        self.chunks = _Chunks(self)
+        self.parts = Parts(self)
 
-    def parts(self, chunk: str) -> list[str]:
-        """A chunk cut wherever no piece has the two characters that meet: every path goes through these places."""
-        cuts = [k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.inside]
-        return [chunk[a:b] for a, b in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+    @staticmethod
+    def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
 
-    def edges(self, chunk: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+    def edges(self, part: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
         """For each place, the pieces that end there: (start, score, ids)."""
-        n = len(chunk)
+        n = len(part)
         ending: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         known = self.prefixes.get
         for i in range(n):
             for j in range(i + 1, n + 1):
-                piece = known(chunk[i:j])
+                piece = known(part[i:j])
                 if piece is None:
                     break
                 if piece:
                     ending[j].append((i, *piece))
-            if chunk[i] not in self.pieces:
-                ending[i + 1].append((i, self.fallback, tuple(self.byte[b] for b in chunk[i].encode("utf-8", "surrogatepass"))))
+            if part[i] not in self.pieces:
+                ending[i + 1].append((i, self.fallback, tuple(self.byte[b] for b in part[i].encode("utf-8", "surrogatepass"))))
         return ending
 
-    def _search(self, chunk: str) -> list[Path]:
-        ending = self.edges(chunk)
+    def _search(self, part: str) -> list[Path]:
+        ending = self.edges(part)
         best = [0.0]
         for into in ending[1:]:
             best.append(max([best[i] + score for i, score, _ in into]))
         # Every entry of the queue stands for another path, of exactly its cost at best; so the N least are enough.
         n = self.n_best
-        queue: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(chunk), 0.0)]
+        queue: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(part), 0.0)]
         done = 0
         while done < len(queue):
             cost, ids, at, behind = queue[done]
@@ -145,48 +181,79 @@ class PieceCodec:
             done = 0
         return [(-cost, ids) for cost, ids, _, _ in queue]
 
-    def merged(self, chunks: list[Chunk]) -> list[tuple[float, bytes]]:
-        """The N best paths of neighbouring chunks, best first: (score, packed ids)."""
-        scores, ids, margins, others = zip(*chunks, strict=True)
-        top, margins = float(sum(scores)), list(margins)
-        # Only the chunks whose second path costs least can change in one of the N best.
+    def _choices(self, margins: np.ndarray, first: np.ndarray, n_paths: np.ndarray, score: np.ndarray) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+        """The N best choices for the parts of a text: how far behind the best one, and which parts take which further path.
+
+        ``margins`` of the parts, and the first and the number of each part's paths in ``score``. Only the parts whose second paths cost least can
+        change in one of the N best.
+        """
         choices: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _ in range(min(self.n_best - 1, len(margins))):
-            margin = min(margins)
-            if margin == inf:
+        left = margins.copy()
+        for _ in range(min(self.n_best - 1, len(left))):
+            k = int(left.argmin())
+            if left[k] == inf:
                 break
-            k = margins.index(margin)
-            margins[k] = inf
-            costs = [0.0, *(scores[k] - score for score, _ in others[k])]
+            left[k] = inf
+            a, b = int(first[k]), int(first[k] + n_paths[k])
+            costs = (score[a] - score[a:b]).tolist()
             choices = heapq.nsmallest(self.n_best, [(cost + more, (*own, (k, j))) for cost, own in choices for j, more in enumerate(costs)])
-        out = []
-        for cost, own in choices:
-            chosen = list(ids)
-            for k, j in own:
-                if j:
-                    chosen[k] = others[k][j - 1][1]
-            out.append((top - cost, b"".join(chosen)))
-        return out
-
-    def packed(self, text: str) -> list[tuple[float, bytes]]:
-        """The N best paths of a whole text, best first: (score, ids as little-endian 32-bit numbers)."""
-        return self.merged(list(map(self.chunks.__getitem__, self.cut.findall(f" {text}")))) if text else [(0.0, b"")]
+        return choices
+
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each rank below N: (rank, texts, scores, ids, bounds); ids[bounds[k]:bounds[k + 1]] are those of texts[k].
+
+        Texts are the UTF-8 strings of ``data`` between ``offsets``; texts that have fewer paths are left out.
+        """
+        n = len(offsets) - 1
+        full = np.diff(offsets) > 0
+        at = offsets + np.concatenate([[0], np.cumsum(full)])
+        spaced = np.full(int(at[-1]), 32, np.uint8)
+        mask = np.ones(len(spaced), bool)
+        mask[at[:-1][full]] = False
+        spaced[mask] = data
+        chars = np.frombuffer(spaced.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        char_at = np.concatenate([[0], np.cumsum((spaced & 0xC0) != 0x80)])[at]
+        cut = np.ones(len(chars) + 1, bool)
+        cut[1:-1] = ~self.inside[self._pair(chars[:-1], chars[1:])]
+        cut[char_at] = True
+        cuts = np.flatnonzero(cut) if len(chars) else np.zeros(1, np.int64)
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype(np.int64)), pa.py_buffer(chars)])
+        coded = whole.dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        slots = self.parts.slots(coded.dictionary.to_pylist(), np.bincount(number, minlength=len(coded.dictionary)))
+        first, start, score, ids = self.parts.arrays()
+        behind = np.full(len(first) - 1, inf)
+        several = np.flatnonzero(np.diff(first) > 1)
+        behind[several] = score[first[several]] - score[first[several] + 1]
+        slot = slots[number]
+        path, margin, n_paths = first[slot], behind[slot], np.diff(first)[slot]
+        bounds = np.searchsorted(cuts, char_at)
+        best = np.concatenate([[0.0], np.cumsum(score[path])])
+        top = best[bounds[1:]] - best[bounds[:-1]]
+        choices = [self._choices(margin[a:b], path[a:b], n_paths[a:b], score) for a, b in pairwise(bounds.tolist())]
+        for rank in range(self.n_best):
+            texts = np.array([k for k in range(n) if len(choices[k]) > rank], np.int64)
+            owner, part = ragged(bounds[texts], np.diff(bounds)[texts])
+            own = path[part]
+            head = np.searchsorted(owner, np.arange(len(texts)))
+            for k, doc in enumerate(texts.tolist()):
+                for place, j in choices[doc][rank][1]:
+                    own[head[k] + place] += j
+            sizes = start[own + 1] - start[own]
+            _, at_ids = ragged(start[own], sizes)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            yield rank, texts, top[texts] - [choices[k][rank][0] for k in texts.tolist()], ids[at_ids], ends[np.searchsorted(owner, np.arange(len(texts) + 1))]
 
     def encode(self, text: str) -> list[Path]:
         """The N best paths of a whole text, best first: (score, ids)."""
-        return [(score, tuple(np.frombuffer(ids, "<u4").tolist())) for score, ids in self.packed(text)]
+        return [(float(scores[0]), tuple(ids.tolist())) for _, texts, scores, ids, _ in self.encode_all(*byte_view(pa.array([text], pa.string()))) if len(texts)]
 
-    def best(self, text: str) -> tuple[float, bytes, float | None]:
-        """The best path as (score, packed ids), and how far the second falls behind (None without one)."""
-        paths = self.packed(text)
-        return *paths[0], paths[0][0] - paths[1][0] if len(paths) > 1 else None
-
-    def decode_all(self, lists: list[bytes]) -> list[bytes]:
-        """The UTF-8 bytes that each list of packed ids stands for, with the space put before them."""
-        taken = self.vocabulary.take(pa.array(np.frombuffer(b"".join(lists), "<u4")))
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[memoryview]:
+        """The UTF-8 bytes that each run of ids stands for, with the space put before them."""
+        taken = self.vocabulary.take(pa.array(ids))
         _, ends, held = taken.buffers()
-        places = np.frombuffer(ends, np.int64, len(taken) + 1)[np.cumsum([0, *(len(ids) // 4 for ids in lists)])].tolist() if len(taken) else [0] * (len(lists) + 1)
-        data = held.to_pybytes() if held else b""
+        places = np.frombuffer(ends, np.int64, len(taken) + 1)[bounds].tolist() if len(taken) else [0] * len(bounds)
+        data = memoryview(held).cast("B") if held else memoryview(b"")
         return [data[a:b] for a, b in pairwise(places)]
 
     def decode(self, ids: list[int] | tuple[int, ...]) -> str:
@@ -205,22 +272,25 @@ def codec(path: str, n_best: int = N_BEST) -> PieceCodec:
     return _loaded[path, n_best]
 
 
+def _coded(batches: Iterator[pa.RecordBatch], own: PieceCodec) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Iterator]]:
+    """(rows, their bytes and offsets, and what :meth:`PieceCodec.encode_all` gives), in steps of bounded size."""
+    for batch in batches:
+        data, offsets = byte_view(batch.column("_t"))
+        for low, high in steps(offsets, STEP):
+            some, places = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+            yield batch.slice(low, high - low), some, places, own.encode_all(some, places)
+
+
 def encoded(docs: DataFrame, path: str, n_best: int = N_BEST) -> DataFrame:
     """doc_id, rank, score and ids of the N best segmentations of every text."""
-    small_batches(docs.sparkSession, "4m")
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, n_best)
-        for batch in batches:
-            at, ranks, scores, ids = [], [], [], []
-            for k, text in enumerate(batch.column("_t").to_pylist()):
-                for rank, (score, path_ids) in enumerate(own.encode(text)):
-                    at.append(k)
-                    ranks.append(rank)
-                    scores.append(score)
-                    ids.append(path_ids)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(ranks, pa.int32()), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "rank", "score", "ids"])
+        for rows, _, _, ranks in _coded(batches, codec(path, n_best)):
+            for rank, texts, scores, ids, bounds in ranks:
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(texts)), pa.array(np.full(len(texts), rank), pa.int32()), pa.array(scores, pa.float64()), lists], ["doc_id", "rank", "score", "ids"])
 
     return docs.select("doc_id", text_or_empty().alias("_t")).mapInArrow(run, f"doc_id {kind}, rank int, score double, ids array<int>")
 
@@ -239,31 +309,26 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
 
 def op4_piece_codec(docs: DataFrame, path: str | None = None, n_best: int = N_BEST) -> DataFrame:
-    """doc_id, decoded_ok (of all paths), and paths: for the N best, rank, score, n_ids, ids_crc32 (little-endian 32-bit ids) and decoded_ok."""
+    """doc_id, rank (from 0 to N - 1), score, n_ids, ids_crc32 (little-endian 32-bit ids) and decoded_ok of the N best paths of every text."""
     if path is None:
         import public_tokenizers
 
         path = str(public_tokenizers.path("piece_bpe_32k.model"))
-    small_batches(docs.sparkSession, "4m")
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    fields = {"rank": pa.int32(), "score": pa.float64(), "n_ids": pa.int64(), "ids_crc32": pa.int64(), "decoded_ok": pa.bool_()}
+    names = ["doc_id", "rank", "score", "n_ids", "ids_crc32", "decoded_ok"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, n_best)
-        for batch in batches:
-            rows: list[tuple] = []
-            ends, every = [0], []
-            for text in batch.column("_t").to_pylist():
-                paths = own.packed(text)
-                want = f" {text}".encode() if text else b""
-                oks = [found == want for found in own.decode_all([ids for _, ids in paths])]
-                rows.extend((rank, score, len(ids) // 4, zlib.crc32(ids), ok) for rank, ((score, ids), ok) in enumerate(zip(paths, oks, strict=True)))
-                ends.append(len(rows))
-                every.append(all(oks))
-            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
-            inner = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, fields.values(), strict=True)], list(fields))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(every, pa.bool_()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), inner)], ["doc_id", "decoded_ok", "paths"])
-
-    return docs.select("doc_id", text_or_empty().alias("_t")).mapInArrow(
-        run, f"doc_id {kind}, decoded_ok boolean, paths array<struct<rank int, score double, n_ids long, ids_crc32 long, decoded_ok boolean>>"
-    )
+        for rows, data, offsets, ranks in _coded(batches, own):
+            whole = data.tobytes()
+            want = [b" " + whole[a:b] if b > a else b"" for a, b in pairwise(offsets.tolist())]
+            for rank, texts, scores, ids, bounds in ranks:
+                packed = memoryview(ids.astype("<u4").tobytes())
+                sums = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in pairwise(bounds.tolist())]
+                oks = [found == want[k] for k, found in zip(texts.tolist(), own.decode_all(ids, bounds), strict=True)]
+                columns = [np.full(len(texts), rank), scores, np.diff(bounds), np.array(sums, np.int64), np.array(oks, bool)]
+                kinds = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(texts)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    return docs.select("doc_id", text_or_empty().alias("_t")).mapInArrow(run, f"doc_id {kind}, rank int, score double, n_ids long, ids_crc32 long, decoded_ok boolean")

@@ -38,9 +38,9 @@ from sparkloom.llm.shingles import SHINGLE, shingle_sets
 #: n-grams are counted in this many bins, whatever the size of the corpus.
 BIN_BITS = 17
 #: Bounds of a cell: sets, and n-grams of all of its sets (a longer set is a cell of its own, more or less).
-CHUNK, CHUNK_GRAMS = 128, 100_000
-#: Most cells of one n-gram in a list.
-LIST = 256
+CHUNK, CHUNK_GRAMS = 64, 100_000
+#: Most cells of one n-gram in a list; sets in whose prefixes an n-gram is common, and that belong to no component, share cells.
+LIST, COMMON = 256, 256
 #: Small joins of cells are done together up to so many n-grams; so many sets walk a trie at once.
 BATCH_GRAMS, WALKERS = 100_000, 32
 #: Segments of a trie are counted in pieces of at most so many n-grams.
@@ -336,12 +336,20 @@ def _chunked(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _stars(entries: DataFrame, threshold: int) -> DataFrame:
-    """(a, node, n): each node with the star centre a that shares most of its early tokens. Every token has one centre."""
-    lead = entries.groupBy("token").agg(F.min_by(F.struct("node", "n", "at"), F.xxhash64("node")).alias("c"))
-    may = entries.alias("e").join(lead.select("token", "c.*").alias("c"), "token").where(f"c.node <> e.node and {can_link('c', 'e', threshold)}")
-    shared = may.groupBy(F.col("c.node").alias("a"), "e.node").agg(F.count("*").alias("k"), F.first("c.n").alias("na"), F.first("e.n").alias("n"))
-    shared = shared.where(f"k >= least({SHARED}, {need_sql('na', 'n', threshold)})")
-    return shared.groupBy("node").agg(F.max_by("a", F.struct("k", F.expr("-a"))).alias("a"), F.first("n").alias("n"))
+    """(node, n, a, home): the star centre with which a node shares most of its early tokens, and where it belongs otherwise.
+
+    Every token has one centre. ``a`` is null where no centre may link; ``home`` is the centre of the node's commonest
+    token, null where none is common.
+    """
+    lead = entries.groupBy("token").agg(F.min_by(F.struct("node", "n", "at"), F.xxhash64("node")).alias("c"), F.count("*").alias("often"))
+    met = entries.alias("e").join(lead.select("token", "often", "c.*").alias("c"), "token")
+    may = f"(c.node <> e.node and {can_link('c', 'e', threshold)})"
+    met = met.where(f"{may} or often >= {COMMON}").select(F.col("c.node").alias("a"), "e.node", F.col("c.n").alias("na"), "e.n", F.expr(may).alias("may"), "often")
+    each = met.groupBy("a", "node").agg(F.count_if("may").alias("k"), F.max("often").alias("often"), F.first("na").alias("na"), F.first("n").alias("n"))
+    enough = F.expr(f"k >= least({SHARED}, {need_sql('na', 'n', threshold)})")
+    best = F.max_by(F.when(enough, F.col("a")), F.when(enough, F.struct("k", F.expr("-a"))))
+    home = F.max_by("a", F.when(F.col("often") >= COMMON, F.struct("often", "a")))
+    return each.groupBy("node").agg(F.first("n").alias("n"), best.alias("a"), home.alias("home")).where("a is not null or home is not null")
 
 
 def _cell_pairs(entries: DataFrame, threshold: int) -> DataFrame:
@@ -381,15 +389,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     lists = _lists(own.select("_t", "ka"), classes, size, threshold).join(nodes, "ka").where(f"size(l) >= least({SHARED}, ({threshold} * n + 99) div 100)")
     lists = staged(lists.select("node", "n", "ka", "kb", "pick", "l"), "prefixes")
     copies = zipped(own.select("_t", "ka", "kb", F.coalesce("doc_id", F.lit(-1)).alias("pick")).where("_t <> ''"))
-    texts = staged(copies.join(lists.select("node", "ka", "kb", "pick"), ["ka", "kb", "pick"]).select("node", "_z").dropDuplicates(["node"]), "texts")
+    texts = staged(copies.join(lists.select("node", "ka", "kb", "pick"), ["ka", "kb", "pick"]).dropDuplicates(["ka", "kb", "pick"]).select("node", "_z"), "texts")
 
     stars = staged(_stars(lists.select("node", "n", F.inline("l")), threshold), "stars")
-    arms = _chunked(stars, "a").select(F.col("a").alias("ga"), F.col("chunk").alias("gb"), "node", F.lit(1).alias("side"))
+    arms = _chunked(stars.where("a is not null"), "a").select(F.col("a").alias("ga"), F.col("chunk").alias("gb"), "node", F.lit(1).alias("side"))
     centres = arms.select("ga", "gb", F.col("ga").alias("node"), F.lit(0).alias("side")).distinct()
     first = components(_joined(arms.unionAll(centres).withColumn("comp", F.col("node")), texts, classes, size, threshold))
 
-    placed = lists.select("node", "n").join(first, "node", "left").join(stars.select("node", "a"), "node", "left")
-    base = F.when(F.col("component").isNotNull(), F.col("component") * 2).otherwise(F.coalesce("a", "node") * 2 + 1)
+    placed = lists.select("node", "n").join(first, "node", "left").join(stars.drop("n"), "node", "left")
+    base = F.when(F.col("component").isNotNull(), F.col("component") * 2).otherwise(F.coalesce("home", "a", "node") * 2 + 1)
     placed = _chunked(placed.select("node", "n", F.coalesce("component", "node").alias("comp"), base.alias("base")), "base")
     placed = staged(placed.select("node", "n", "comp", F.xxhash64("base", "chunk").alias("cell")), "cells")
     entries = lists.select("node", "l").join(placed, "node").select("n", "comp", "cell", F.inline("l"))

@@ -15,7 +15,7 @@ _EDGES = r"(?U)^\s+|\s+$"
 _UNDERSCORED = r"^\s*[+-]?\d+(_\d+)*(\.\d+(_\d+)*)?([eE][+-]?\d+)?\s*$"
 _SUFFIXED = r"[dDfF]\s*$"
 #: Fixed value: the shape of an address.
-EMAIL = r"^[\w\.-]+@[\w\.-]+\.\w+$"
+EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 
 
 def as_text(c: Column) -> Column:

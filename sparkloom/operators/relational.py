@@ -1,4 +1,4 @@
-"""Relational operators with the null rules of the reference data model: nulls last, null keys dropped, NaN skipped."""
+"""Relational operators with fixed null rules: nulls last, null keys dropped, NaN skipped."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.text import ascii_bucket
 
@@ -75,23 +76,64 @@ def range_partitioned(df: DataFrame, column: str, n: int) -> DataFrame:
 def blocks(df: DataFrame, order: str, k: int) -> DataFrame:
     """Adds ``block``: k contiguous runs in order, the first ones a row longer where k does not divide the rows.
 
-    Ranks come from counts of range partitions and a prefix sum over them, so no window spans the table.
+    Ranks come from counts of ranges and a prefix sum over them, so no window spans the table.
     """
     ranked = with_rank(df, order)
-    n = ranked.count()
+    n = df.count()
     short, longer = n // k, n % k
     cut, r = longer * (short + 1), F.col("rank")
     block = F.when(r < cut, F.floor(r / (short + 1))).otherwise(longer + F.floor((r - cut) / max(short, 1)))
     return ranked.withColumn("block", (block + 1).cast("int")).drop("rank")
 
 
+#: Rows that a part should hold, most parts, and values read for each bound between parts.
+PART_ROWS, MOST_PARTS, SAMPLES = 1_000_000, 4_096, 16
+#: Bounds are searched in blocks of this many.
+BOUNDS = 64
+
+
+def with_parts(df: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """Adds ``_part``: contiguous ranges of ``order``, numbered in its order (nulls first), and tells how many there may be.
+
+    The bounds are taken once, from values with small hashes, and stand in the plan. So a row's part depends on its
+    value alone, whatever columns are read and however the plan is run. The sample only balances the parts.
+    """
+    kind = df.schema[order].dataType
+    values = df.select(F.col(order).alias("v")).where("v is not null")
+    n = values.count()
+    parts = int(min(MOST_PARTS, max(-(-n // PART_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    share = min(1.0, parts * SAMPLES / max(n, 1))
+    some = values.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= int(share * (1 << 20))).distinct().orderBy("v")
+    found = [r["v"] for r in some.collect()]
+    bounds = [found[k * len(found) // parts] for k in range(1, parts)] if len(found) >= parts else found[1:]
+    blocks = [bounds[k : k + BOUNDS] for k in range(0, len(bounds), BOUNDS)]
+    if not blocks:
+        return df.withColumn("_part", F.lit(0)), 1
+    v, literal = F.col(order), lambda some: F.array(*[F.lit(x) for x in some]).cast(T.ArrayType(kind))
+    below = F.size(F.filter(literal([b[-1] for b in blocks]), lambda b: b <= v))
+    inner = F.size(F.filter(F.get(F.array(*map(literal, blocks)), below), lambda b: b <= v))
+    return df.withColumn("_part", F.when(v.isNull(), 0).otherwise(below * BOUNDS + F.when(below < len(blocks), inner).otherwise(0) - F.when(below == len(blocks), len(blocks) * BOUNDS - len(bounds)).otherwise(0)).cast("int")), len(bounds) + 1
+
+
+def running_total(df: DataFrame, order: str, size: Column, name: str) -> DataFrame:
+    """Adds the sum of ``size`` over the rows before each row in the order of a unique column, without one task seeing every row.
+
+    Sums within ranges of the order, and the ranges' totals before them: at most MOST_PARTS of these go through the driver.
+    """
+    parts, _ = with_parts(df.withColumn("_size", size), order)
+    totals = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.sum("_size").alias("n")).collect()}
+    before, sums = 0, []
+    for part in sorted(totals):
+        sums.append((part, before))
+        before += totals[part] or 0
+    own = F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = df.sparkSession.createDataFrame(sums, "_part int, _before long")
+    return parts.withColumn("_own", own).join(F.broadcast(known), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_size", "_own", "_before")
+
+
 def with_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
-    """Adds the place of each row (from 0) in the order of a unique column, without one task seeing every row."""
-    parts = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return local.join(before, "_part").withColumn(name, F.col("_before") + F.col("_at") - 1).drop("_part", "_at", "_before")
+    """Adds the place of each row (from 0) in the order of a unique column."""
+    return running_total(df, order, F.lit(1), name)
 
 
 def union_all(*tables: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from enum import IntEnum
@@ -11,13 +12,16 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators.relational import partition_checksums
+from sparkloom.sources.folders import Files, Versions
+
 PRIMITIVES = ("string", "boolean", "int", "long", "float", "double", "date", "timestamp")
 SPARK_TYPES = dict(zip(PRIMITIVES, ("string", "boolean", "int", "bigint", "float", "double", "date", "timestamp"), strict=True))
 #: Shapes of names.
-DATASET = re.compile(r"[a-z][a-z0-9_-]*")
-FIELD = re.compile(r"[a-z][a-z0-9_]*")
-TOPIC = re.compile(r"[a-zA-Z0-9._-]+")
-TABLE = re.compile(r"[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)+")
+DATASET = re.compile(r"[a-z][a-z0-9_-]{0,62}")
+FIELD = re.compile(r"[a-z][a-z0-9_]{0,62}")
+TOPIC = re.compile(r"[a-zA-Z0-9._-]{1,249}")
+TABLE = re.compile(r"[a-z][a-z0-9_]*\.[a-z][a-z0-9_]*")
 TRANSFORM = re.compile(r"(?:(year|month|day|hour)\((\w+)\)|bucket\((\d+),\s*(\w+)\)|(\w+))")
 DECIMAL = re.compile(r"decimal\((\d+),\s*(\d+)\)")
 
@@ -76,12 +80,18 @@ def parse_type(text: object) -> tuple[str, int, int] | None:
     """(kind, precision, scale) of a type's name; None for what is no type."""
     if text in PRIMITIVES:
         return str(text), 0, 0
-    found = DECIMAL.fullmatch(text.strip()) if isinstance(text, str) else None
+    found = DECIMAL.fullmatch(text) if isinstance(text, str) else None
     if found and 1 <= int(found[1]) <= 38 and int(found[2]) <= int(found[1]):
         return "decimal", int(found[1]), int(found[2])
     return None
 
 
+def type_name(text: str) -> str:
+    """A type's one name, however its digits are spaced; what is no type stays as it is."""
+    found = parse_type(text)
+    return f"decimal({found[1]},{found[2]})" if found and found[0] == "decimal" else text
+
+
 def _positive(value: object) -> bool:
     return isinstance(value, int) and not isinstance(value, bool) and value >= 1
 
@@ -114,7 +124,7 @@ def _stream(raw: dict, p: Problems) -> None:
     topic = raw.get("topic")
     p.need(isinstance(topic, str) and bool(TOPIC.fullmatch(topic)), f"stream.topic: {topic!r} is no topic name")
     for key in ("partitions", "retention_hours"):
-        p.need(_positive(raw.get(key)) or (key == "retention_hours" and key not in raw), f"stream.{key}: an integer of 1 or more is needed")
+        p.need(_positive(raw.get(key)), f"stream.{key}: an integer of 1 or more is needed")
     p.need(isinstance(raw.get("config", {}), dict), "stream.config: a mapping is needed")
 
 
@@ -151,6 +161,7 @@ def parse_spec(raw: object, source: str = "<spec>") -> tuple[Spec | None, list[s
     name = raw.get("dataset")
     p.need(isinstance(name, str) and bool(DATASET.fullmatch(name)), f"dataset: {name!r} is no dataset name")
     p.need(isinstance(raw.get("owner"), str) and bool(str(raw.get("owner")).strip()), "owner: a text is needed")
+    p.need(isinstance(raw.get("description", ""), str), "description: a text is needed")
     p.need(raw.get("state", "active") in ("active", "retired"), f"state: {raw.get('state')!r} is no state")
     schema = _schema(raw.get("schema"), p)
     sections = {k: raw.get(k) for k in ("stream", "table") if raw.get(k) is not None}
@@ -160,7 +171,7 @@ def parse_spec(raw: object, source: str = "<spec>") -> tuple[Spec | None, list[s
             _stream(section, p) if key == "stream" else _table(section, schema, p)
     if p.found:
         return None, p.found
-    return Spec(name, raw["owner"], schema, str(raw.get("description") or ""), raw.get("state", "active"), sections.get("stream"), sections.get("table")), []
+    return Spec(name, raw["owner"].strip(), schema, raw.get("description", ""), raw.get("state", "active"), sections.get("stream"), sections.get("table")), []
 
 
 def load_specs(directory: str) -> list[tuple[str, Spec | None, list[str]]]:
@@ -189,7 +200,7 @@ def claims_table(spark: SparkSession, specs: Sequence[Spec]) -> DataFrame:
 
 
 def fields_table(spark: SparkSession, schema: Schema) -> DataFrame:
-    rows = [(k, f.name, f.type, f.required) for k, f in enumerate(schema.fields)]
+    rows = [(k, f.name, type_name(f.type), f.required) for k, f in enumerate(schema.fields)]
     return spark.createDataFrame(rows, "position int, field string, type string, required boolean")
 
 
@@ -256,30 +267,24 @@ def partition_columns(df: DataFrame, transforms: Sequence[str]) -> DataFrame:
     return df.withColumns(made)
 
 
-def shadow_swap(spark: SparkSession, df: DataFrame, table_path: str, partition: str, keys: Sequence[str]) -> str:
-    """Writes a shadow copy, verifies it against ``df`` by checksums, and points the table at it; the old copy goes.
+def current_copy(spark: SparkSession, table_path: str) -> str | None:
+    """The path of the copy that the table points at."""
+    found = Versions(spark, f"{table_path}/current").load()
+    return found.decode() if found else None
 
-    The pointer is the file ``current`` in ``table_path``; renaming it is the only visible step.
-    """
-    import uuid
 
-    from sparkloom.operators.relational import partition_checksums
+def shadow_swap(spark: SparkSession, df: DataFrame, table_path: str, partition: str, keys: Sequence[str]) -> str:
+    """Writes a shadow copy, verifies it against ``df`` by checksums, and points the table at it; the old copy goes last.
 
+    The pointer in ``table_path``/current is replaced as a whole: a crash at any moment leaves the old or the new copy in place.
+    """
     shadow = f"{table_path}/data-{uuid.uuid4().hex}"
     df.write.partitionBy(partition).parquet(shadow)
     want, got = (partition_checksums(x, partition, keys).select(F.col(partition).cast("string").alias("p"), "rows", "checksum") for x in (df, spark.read.parquet(shadow)))
     if not want.exceptAll(got).isEmpty() or not got.exceptAll(want).isEmpty():
         raise ValueError("the shadow copy differs")
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(table_path).getFileSystem(spark._jsc.hadoopConfiguration())
-    new, current = path(f"{table_path}/current.new"), path(f"{table_path}/current")
-    old = spark.read.text(f"{table_path}/current").first()[0] if fs.exists(current) else None
-    out = fs.create(new, True)
-    out.write(bytearray(shadow.encode()))
-    out.close()
-    fs.delete(current, False)
-    fs.rename(new, current)
+    old = current_copy(spark, table_path)
+    Versions(spark, f"{table_path}/current").save(shadow.encode())
     if old:
-        fs.delete(path(old), True)
+        Files(spark, old).delete()
     return shadow

@@ -64,37 +64,47 @@ def _error(name: str, category: str, step: str, message: Column) -> Column:
 def refine(df: DataFrame, mapping: Mapping, registry: FunctionRegistry | None = None, cast_types: bool = False) -> DataFrame:
     """Renamed, transformed and derived columns, and ``errors``.
 
-    Transformations chain; one that fails keeps the value and the chain goes on. Validations look at the transformed value
-    and never drop a row. Derivations start from the transformed value, whatever validation says; their column is
-    target_field_name or ``<rich_key>_derived``. Of two outputs with one name the later wins.
+    Transformations chain. A numeric one that meets a value that is no number reports an error; a number-typed
+    value is kept then, a text that is no number becomes null, since the column is a number from there on; the chain goes on.
+    Validations look at the transformed value and never drop a row. Derivations start from the transformed value, whatever
+    validation says; their column is target_field_name or ``<rich_key>_derived``. Of two outputs with one name the later wins.
+
+    Every numeric step's value is a column of its own, so that a chain of steps is as long as its steps.
     """
     registry = registry or default_registry()
+    kinds = dict(df.dtypes)
     out: dict[str, Column] = {}
     errors: list[Column] = []
-    for name in df.columns:
+    rows = df.select(*[F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(df.columns)])
+    for k, name in enumerate(df.columns):
         own = mapping.fields.get(name)
         if own is None or own.is_key_ignored:
             continue
-        value = F.col(f"`{name}`")
-        for step in own.transformation:
+        value, kind = F.col(f"_in{k}"), kinds[name]
+        for j, step in enumerate(own.transformation):
             made = registry.build("transformation", step.name, value, step.parameter_to_function)
             if step.name in NUMERIC:
-                failed = made.isNull() & value.isNotNull()
-                errors.append(F.when(failed, _error(name, "transformation", step.name, F.lit("not a number"))))
-                kept = value if dict(df.dtypes)[name] != "string" else value.try_cast("double")
-                made = F.coalesce(made, kept.cast("double"))
+                rows = rows.withColumn(f"_made{k}_{j}", made)
+                made = F.col(f"_made{k}_{j}")
+                errors.append(F.when(made.isNull() & value.isNotNull(), _error(name, "transformation", step.name, F.lit("not a number"))))
+                if kind not in ("string", "double"):
+                    rows = rows.withColumn(f"_kept{k}_{j}", F.coalesce(made, value.cast("double")))
+                    made = F.col(f"_kept{k}_{j}")
+                kind = "double"
+            else:
+                kind = "string"
             value = made
         for step in own.validation:
             passed = registry.build("validation", step.name, value, step.parameter_to_function)
             errors.append(F.when(~passed, _error(name, "validation", step.name, F.lit("validation failed"))))
-        kinds = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean"}
-        out[own.rich_key] = value.try_cast(kinds[own.rich_key_type]) if cast_types and own.rich_key_type else value
+        casts = {"string": "string", "int": "bigint", "float": "double", "bool": "boolean"}
+        out[own.rich_key] = value.try_cast(casts[own.rich_key_type]) if cast_types and own.rich_key_type else value
         for step in own.derivation:
             parameters = dict(step.parameter_to_function)
             target = parameters.pop("target_field_name", None) or f"{own.rich_key}_derived"
             out[target] = registry.build("derivation", step.name, value, parameters)
     found = F.filter(F.array(*errors), lambda e: e.isNotNull()) if errors else F.array().cast(f"array<{ERROR}>")
-    return df.select(*[c.alias(n) for n, c in out.items()], found.cast(f"array<{ERROR}>").alias("errors"))
+    return rows.select(*[c.alias(n) for n, c in out.items()], found.cast(f"array<{ERROR}>").alias("errors"))
 
 
 def error_rows(refined: DataFrame, record: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from sparkloom.operators import relational as rel
 from sparkloom.operators import rings
 from sparkloom.plans import contracts
 from sparkloom.plans.refine import FieldMapping, Mapping, Step, as_json_rows, error_rows, refine
-from sparkloom.sources.log import sealed_below, verified
+from sparkloom.sources.folders import Files, scratch
+from sparkloom.sources.log import HEADER, Consumer, Log, LogConfig, verified
 from sparkloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,10 +123,10 @@ def refine_error_count(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.count("*").alias("n_rows"), F.count_if(F.exists("errors", lambda e: e["step"] == "is_valid_email")).alias("n_bad"))
 
 
-@query("SELECT count(*) AS n, sum(length(to_json({'r_regionkey': r_regionkey, 'r_name': r_name}))) AS chars FROM region")
+@query("SELECT to_json({'r_regionkey': r_regionkey, 'r_name': r_name})::VARCHAR AS json FROM region")
 def refined_json(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "region").select("r_regionkey", "r_name")
-    return as_json_rows(refine(rows, Mapping.of_columns(rows.columns))).agg(F.count("*").alias("n"), F.sum(F.length("json")).alias("chars"))
+    return as_json_rows(refine(rows, Mapping.of_columns(rows.columns)))
 
 
 @query("SELECT c_custkey, upper(c_name) AS upper_name, lower(c_name) AS lower_name, c_name[2:5] AS middle, right(c_name, 4) AS last_four, replace(c_name, '0', 'o') AS replaced, c_acctbal + 1.5 AS added, length(c_name) >= 10 AS long_enough, c_name || ' tail' AS combined, c_acctbal * 0.19 AS tax FROM customer")
@@ -136,6 +138,23 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("SELECT c_custkey, (c // 10 + (c % 10 > 5 OR (c % 10 = 5 AND (c // 10) % 2 = 1))::INT) / 10.0 AS tenths, n IS NOT NULL AND trim(n) <> '' AS present FROM (SELECT c_custkey, abs(round(c_acctbal * 100)::BIGINT) AS c, CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '   ' ELSE c_name END AS n FROM customer)")
+def rounding_and_presence(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    name = F.when(F.col("c_custkey") % 4 == 1, "   ").when(F.col("c_custkey") % 4 > 1, F.col("c_name"))
+    return c.select("c_custkey", fn.round_number(F.abs("c_acctbal"), 1).alias("tenths"), fn.not_null(name).alias("present"))
+
+
+_ADDRESSES = ("a+b{}@x.com", "x@y{}.c-d", "x@y_z{}.com", "no-at{}.com", "a{}@b", "a.b-c_{}@d.e.f", "@{}.com", "ä{}@x.com")
+
+
+@query(f"SELECT c_custkey, address, regexp_full_match(address, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+[.][a-zA-Z0-9.-]+') AS valid FROM (SELECT c_custkey, replace({list(_ADDRESSES)}[c_custkey % {len(_ADDRESSES)} + 1], '{{}}', c_custkey::VARCHAR) AS address FROM customer)")
+def address_validity(spark: SparkSession, d: str) -> DataFrame:
+    shapes = F.array(*map(F.lit, _ADDRESSES))
+    address = F.replace(F.get(shapes, (F.col("c_custkey") % len(_ADDRESSES)).cast("int")), F.lit("{}"), F.col("c_custkey").cast("string"))
+    return table(spark, d, "customer").select("c_custkey", address.alias("address")).withColumn("valid", fn.is_valid_email(F.col("address")))
+
+
 @query("SELECT c_custkey, list_sum(list_transform(string_split(c_mktsegment, ''), lambda x: ascii(x)))::INT % 3 + 1 AS bucket FROM customer")
 def ascii_buckets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", rel.bucket_of("c_mktsegment").alias("bucket"))
@@ -180,9 +199,11 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
     return rel.top(sim(spark, d), "value", 100, tie=["id"]).select("id", "value")
 
 
-@query(f"SELECT id, value FROM {SIM}")
+@query(f"SELECT id, value, row_number() OVER (ORDER BY value NULLS LAST, id) - 1 AS place FROM {SIM}")
 def sorted_values(spark: SparkSession, d: str) -> DataFrame:
-    return rel.order_by(sim(spark, d), "value", tie=["id"]).select("id", "value")
+    """The sorted rows with the places at which they stand: partitions in order, and rows in order within each."""
+    rows = rel.order_by(sim(spark, d), "value", tie=["id"]).select("id", "value").withColumn("_at", F.monotonically_increasing_id())
+    return rel.with_rank(rows, "_at", "place").drop("_at")
 
 
 @query(f"SELECT block, count(*) AS n, min(id) AS low, max(id) AS high FROM (SELECT id, ntile(3) OVER (ORDER BY id)::INT AS block FROM {SIM}) GROUP BY block")
@@ -246,7 +267,7 @@ def gapless(spark: SparkSession, d: str) -> DataFrame:
 _RINGS = f"""
 WITH RECURSIVE e AS (SELECT DISTINCT w, sender AS src, receiver AS dst FROM {TX} WHERE sender <> receiver),
 p AS (SELECT w, src AS start, dst AS node, [src, dst] AS path FROM e WHERE dst > src UNION ALL
-  SELECT p.w, p.start, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.w = p.w AND e.src = p.node WHERE e.dst > p.start AND NOT list_contains(p.path, e.dst) AND len(p.path) < 7),
+  SELECT p.w, p.start, e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.w = p.w AND e.src = p.node WHERE e.dst > p.start AND NOT list_contains(p.path, e.dst)),
 r AS (SELECT p.w, p.path AS ring FROM p JOIN e ON e.w = p.w AND e.src = p.node AND e.dst = p.start)
 """
 
@@ -270,6 +291,17 @@ def ring_display_edges(spark: SparkSession, d: str) -> DataFrame:
     return rings.ring_edges(_rings(spark, d)).select("w", "step", "src", "dst")
 
 
+_NAMED = f"(SELECT w, sender::VARCHAR AS sender, receiver::VARCHAR AS receiver FROM {TX})"
+
+
+@query(f"""{_RINGS.replace(TX, _NAMED)}, k AS (SELECT w, ring, row_number() OVER (PARTITION BY w ORDER BY ring) AS i FROM r)
+SELECT epoch_ms(w) AS start_ms, count(*) AS n_rings, '{{"windowStart":' || epoch_ms(w) || ',"windowEnd":' || (epoch_ms(w) + 3600000) || ',"rings":' || to_json(list(ring ORDER BY ring))::VARCHAR || '}}' AS alert FROM k WHERE i <= {rings.MAX_RINGS} GROUP BY w""")
+def tx_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """One alert for each hour that has rings, as its JSON."""
+    t = tx(spark, d).select(F.col("sender").cast("string").alias("senderAccount"), F.col("receiver").cast("string").alias("receiverAccount"), F.unix_millis(F.col("w").cast("timestamp")).alias("timestamp"))
+    return jobs.ring_alerts(t, "1 hour").select(F.unix_millis("start").alias("start_ms"), F.size("rings").cast("long").alias("n_rings"), "alert")
+
+
 @query(f"SELECT w, sender, array_to_string(list_sort(list(DISTINCT receiver)), ',') AS receivers FROM {TX} WHERE sender <> receiver GROUP BY w, sender")
 def adjacency(spark: SparkSession, d: str) -> DataFrame:
     e = rings.edges(tx(spark, d), "w", "sender", "receiver")
@@ -297,6 +329,16 @@ def telemetry_windows(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.unix_millis("window_start").alias("start_ms"), "sensor_id", F.round("avg_temperature", 6).alias("avg_temperature"), "n")
 
 
+@query(f"SELECT sensor_id, count(*) AS n, min(timestamp) AS first_ms, max(timestamp) AS last_ms, 0::BIGINT AS turns FROM {TEL} GROUP BY sensor_id")
+def tel_partition_order(spark: SparkSession, d: str) -> DataFrame:
+    """As a keyed producer sends them: what comes first and last for each sensor, and how often time goes back or its rows lie in two places."""
+    sent = jobs.by_key(tel(spark, d), "sensor_id").withColumn("place", F.monotonically_increasing_id())
+    before = F.lag(F.struct("timestamp", "place")).over(Window.partitionBy("sensor_id").orderBy("place"))
+    turned = (before["timestamp"] > F.col("timestamp")) | (F.shiftright(before["place"], 33) != F.shiftright("place", 33))
+    rows = sent.withColumn("turned", F.coalesce(turned, F.lit(False)))
+    return rows.groupBy("sensor_id").agg(F.count("*").alias("n"), F.min_by("timestamp", "place").alias("first_ms"), F.max_by("timestamp", "place").alias("last_ms"), F.count_if("turned").alias("turns"))
+
+
 @query(f"SELECT payload AS key, count(*) AS count FROM {LOG} GROUP BY payload")
 def log_counts(spark: SparkSession, d: str) -> DataFrame:
     return jobs.keyed_counts(log(spark, d))
@@ -313,29 +355,93 @@ def count_verification(spark: SparkSession, d: str) -> DataFrame:
     return rel.compare_counts(jobs.keyed_counts(rows), jobs.keyed_counts(rows.unionAll(rows)), "key")
 
 
+@contextmanager
+def written_log(spark: SparkSession, d: str) -> Iterator[Log]:
+    """A log in the shared folder that holds all events, appended in two batches; it goes afterwards.
+
+    Payloads have two bytes, so segments of SEGMENT records are full with these bytes.
+    """
+    path = scratch(spark, "log")
+    made = Log(spark, path, LogConfig(segment_bytes=SEGMENT * (HEADER.size + 2)))
+    rows = log(spark, d)
+    cut = rows.agg(F.floor(F.max("offset") * 0.37)).first()[0]
+    try:
+        made.append(rows.where(F.col("offset") <= cut), "offset")
+        made.append(rows.where(F.col("offset") > cut), "offset")
+        yield made
+    finally:
+        Files(spark, path).delete()
+
+
+def told(df: DataFrame) -> DataFrame:
+    """A small result that no longer needs its log: limited reads, and one row for each segment at most."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 @query(f"SELECT \"offset\", payload FROM {LOG} WHERE \"offset\" >= 250 ORDER BY \"offset\" LIMIT 40")
 def log_read_from(spark: SparkSession, d: str) -> DataFrame:
-    return log(spark, d).where("offset >= 250").orderBy("offset").limit(40).select("offset", "payload")
+    with written_log(spark, d) as made:
+        return told(made.read_from(250, 40).withColumn("payload", F.col("payload").cast("string")))
 
 
 @query(f"SELECT \"offset\", payload FROM {LOG} WHERE \"offset\" = 77")
 def log_point_read(spark: SparkSession, d: str) -> DataFrame:
-    return log(spark, d).where("offset = 77").select("offset", "payload")
+    with written_log(spark, d) as made:
+        found = made.read(77)
+    return spark.createDataFrame([(77, found.decode())] if found is not None else [], "offset long, payload string")
 
 
 @query(f"SELECT min(segment_base) AS first_offset, max(\"offset\") + 1 AS next_offset FROM {LOG}")
 def log_bounds(spark: SparkSession, d: str) -> DataFrame:
-    return log(spark, d).agg(F.min("segment_base").alias("first_offset"), (F.max("offset") + 1).alias("next_offset"))
+    with written_log(spark, d) as made:
+        return spark.createDataFrame([(made.first_offset(), made.next_offset())], "first_offset long, next_offset long")
+
+
+@query(f"SELECT segment_base, count(*) AS n, max(\"offset\") AS last, sum(length(payload))::BIGINT AS bytes FROM {LOG} GROUP BY segment_base")
+def log_segments(spark: SparkSession, d: str) -> DataFrame:
+    with written_log(spark, d) as made:
+        return told(made.rows().groupBy("segment_base").agg(F.count("*").alias("n"), F.max("offset").alias("last"), F.sum(F.octet_length("payload")).alias("bytes")))
 
 
 @query(f"SELECT segment_base FROM (SELECT segment_base, lead(segment_base) OVER (ORDER BY segment_base) AS n FROM (SELECT DISTINCT segment_base FROM {LOG})) WHERE n <= 450")
 def log_retention(spark: SparkSession, d: str) -> DataFrame:
-    return sealed_below(log(spark, d).select("segment_base").distinct(), 450)
+    with written_log(spark, d) as made:
+        before = {r[0] for r in made.segments().collect()}
+        made.delete_up_to(450)
+        gone = before - {r[0] for r in made.segments().collect()}
+    return spark.createDataFrame([(x,) for x in gone], "segment_base long")
+
+
+@query(f"SELECT name, greatest(least(polled, n), f) AS position, greatest(n - greatest(least(polled, n), f), 0) AS lag FROM (VALUES ('none', 0), ('some', 30), ('all', 1000000000)) g(name, polled), (SELECT max(\"offset\") + 1 AS n, 200 AS f FROM {LOG})")
+def log_consumer_lag(spark: SparkSession, d: str) -> DataFrame:
+    """Three groups, after retention has taken the first two segments: one without a commit, one whose commit is below what is left, one at the end."""
+    with written_log(spark, d) as made:
+        some, every = Consumer(made, "some"), Consumer(made, "all")
+        some.poll(30)
+        some.commit()
+        every.position = made.next_offset()
+        every.commit()
+        made.delete_up_to(250)
+        groups = [(name, Consumer(made, name)) for name in ("none", "some", "all")]
+        return spark.createDataFrame([(name, c.position, c.lag()) for name, c in groups], "name string, position long, lag long")
 
 
 @query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN payload = 'k' || (\"offset\" % 10) THEN 'OK' ELSE 'BAD' END AS status FROM {LOG}) GROUP BY status")
 def log_verification(spark: SparkSession, d: str) -> DataFrame:
-    return verified(log(spark, d), fn.key_of_offset(F.col("offset"))).groupBy("status").agg(F.count("*").alias("n"))
+    with written_log(spark, d) as made:
+        return told(verified(made.rows(), fn.key_of_offset(F.col("offset"))).groupBy("status").agg(F.count("*").alias("n")))
+
+
+@query(f"SELECT payload AS key, count(*) AS count FROM {LOG} GROUP BY payload")
+def log_counts_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Counts kept with their position, in three runs."""
+    path = scratch(spark, "counts")
+    with written_log(spark, d) as made:
+        for limit in (333, 1, made.next_offset()):
+            jobs.count_next(made, path, limit)
+        out = told(jobs.counted(spark, path)[0])
+    Files(spark, path).delete()
+    return out
 
 
 @query("SELECT event_id, 'r' || event_id || '-' || repeat('x', (event_id % 64)::INT) AS payload, lpad(event_id::VARCHAR, 20, '0') || '.log' AS segment, event_id AS base FROM events")
@@ -361,6 +467,19 @@ def contract_diff(spark: SparkSession, d: str) -> DataFrame:
     return contracts.schema_changes(contracts.fields_table(spark, OLD), contracts.fields_table(spark, NEW))
 
 
+_PAIRS = {
+    "same": (OLD, OLD), "breaking": (OLD, NEW), "older": (NEW, OLD), "unversioned": (OLD, contracts.Schema(1, NEW.fields)),
+    "wider": (OLD, contracts.Schema(2, tuple(contracts.Field(f.name, {"int": "long", "decimal(8,2)": "decimal(12, 2)"}.get(f.type, f.type), f.required) for f in OLD.fields))),
+    "respelled": (OLD, contracts.Schema(1, tuple(contracts.Field(f.name, f.type.replace(",", ", "), f.required) for f in OLD.fields))),
+}
+
+
+@query("SELECT * FROM (VALUES ('same', 0, 0), ('breaking', 2, 7), ('older', 1, 7), ('unversioned', 1, 7), ('wider', 0, 2), ('respelled', 0, 0)) v(pair, verdict, n_changes)")
+def con_verdict(spark: SparkSession, d: str) -> DataFrame:
+    found = [(name, contracts.compatibility(spark, old, new)) for name, (old, new) in _PAIRS.items()]
+    return spark.createDataFrame([(name, int(verdict), changes.count()) for name, (changes, _, verdict) in found], "pair string, verdict int, n_changes int")
+
+
 @query("SELECT n_name AS value, 'nation' AS kind, 'a,b' AS names FROM nation WHERE n_nationkey % 2 = 0")
 def claim_conflicts(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").select(F.lit("nation").alias("kind"), F.col("n_name").alias("value"), "n_nationkey")

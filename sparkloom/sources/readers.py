@@ -20,8 +20,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records, or a single record."""
-    return spark.read.option("multiLine", True).json(path)
+    """A JSON array of records, or a single record; a file that holds other JSON, or none, gives no rows."""
+    rows = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+    if "_bad" not in rows.columns:
+        return rows
+    return spark.read.schema(T.StructType([f for f in rows.schema if f.name != "_bad"])).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
 
 
 def sample_records(spark: SparkSession) -> DataFrame:
@@ -66,10 +69,11 @@ def keyed_log(spark: SparkSession, records: int, start: int = 0) -> DataFrame:
 
 
 def decoded(raw: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """JSON text to columns; what does not parse is dropped."""
-    parsed = raw.select(F.from_json(F.col(value).cast("string"), schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-    first = schema.fieldNames()[0]
-    return parsed.where(F.col("r").isNotNull() & F.col(f"r.{first}").isNotNull()).select("r.*")
+    """JSON text to columns; what does not parse as an object is dropped, missing and null fields are null."""
+    whole = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    text = F.col(value).cast("string")
+    parsed = raw.select(F.from_json(text, whole, {"columnNameOfCorruptRecord": "_bad"}).alias("r"), F.ltrim(text).startswith("{").alias("_object"))
+    return parsed.where(F.col("r").isNotNull() & F.col("r._bad").isNull() & F.col("_object")).select(*[F.col("r").getField(f).alias(f) for f in schema.fieldNames()])
 
 
 def open_stream(spark: SparkSession, kind: str, **options: str) -> DataFrame:

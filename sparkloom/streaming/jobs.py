@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sparkloom.operators.rings import MAX_RINGS, rings_udf
+from sparkloom.sources.folders import Files, Versions
+from sparkloom.sources.log import Log
 from sparkloom.sources.readers import alert_json
 
 
@@ -41,6 +45,38 @@ def keyed_counts(log: DataFrame, key: str = "payload") -> DataFrame:
     return log.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("count"))
 
 
+def count_next(log: Log, path: str, limit: int) -> int:
+    """Counts the next ``limit`` records of a log into the table of counts at ``path``; returns how many there were.
+
+    The new table and the position after it are named by one small file, which is put in place as a whole. So a job that dies at
+    any moment and starts again counts every record exactly once.
+    """
+    kept, files = Versions(log.spark, f"{path}/commits"), Files(log.spark, f"{path}/tables")
+    now = json.loads(kept.load() or b'{"next": 0, "table": null}')
+    first = max(now["next"], log.first_offset())
+    rows = log.read_from(first, limit)
+    n = min(limit, log.next_offset() - first)
+    if n <= 0:
+        return 0
+    for name in set(files.names()) - {now["table"]}:
+        files.delete(name)
+    counts, table = keyed_counts(rows), f"counts-{uuid.uuid4().hex}"
+    if now["table"]:
+        old = log.spark.read.schema("key string, count long").parquet(f"{path}/tables/{now['table']}")
+        counts = counts.unionByName(old).groupBy("key").agg(F.sum("count").alias("count"))
+    counts.write.parquet(f"{path}/tables/{table}")
+    kept.save(json.dumps({"next": first + n, "table": table}).encode())
+    return n
+
+
+def counted(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The table of counts that :func:`count_next` keeps at ``path``, and the position up to which it counts."""
+    now = json.loads(Versions(spark, f"{path}/commits").load() or b'{"next": 0, "table": null}')
+    if not now["table"]:
+        return spark.createDataFrame([], "key string, count long"), now["next"]
+    return spark.read.schema("key string, count long").parquet(f"{path}/tables/{now['table']}"), now["next"]
+
+
 def naive_counts(log: DataFrame, crash_at: int, state_every: int = 500, offset_every: int = 1000) -> DataFrame:
     """What counts become if state and position are kept apart and the job dies once: rows between the last kept position
     and the last kept state are counted twice."""
@@ -49,9 +85,10 @@ def naive_counts(log: DataFrame, crash_at: int, state_every: int = 500, offset_e
     return keyed_counts(log.unionAll(again))
 
 
-def to_files(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet", **options: str) -> StreamingQuery:
+def to_files(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet", once: bool = False, **options: str) -> StreamingQuery:
     """An append sink with exactly-once files."""
-    return stream.writeStream.format(kind).options(**options).option("path", path).option("checkpointLocation", checkpoint).outputMode("append").start()
+    writer = stream.writeStream.format(kind).options(**options).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def to_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", once: bool = False) -> StreamingQuery:

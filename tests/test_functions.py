@@ -79,3 +79,10 @@ def test_log_codecs(spark):
     assert list(decoded_segment(data[:13] + b"\xff" + data[14:])) == []
     got = spark.createDataFrame([(2, bytearray(b"xyz"))], "o long, p binary").select(fn.record_crc(F.col("o"), F.col("p"))).first()[0]
     assert got == zlib.crc32((2).to_bytes(8, "big") + (3).to_bytes(4, "big") + b"xyz")
+
+
+def test_addresses(spark):
+    good = ["a+b@x.com", "x@y.c-d", "a.b-c_d@e.f.g", "A@b.c."]
+    bad = ["x@y_z.com", "x@y", "@x.com", "ä@x.com", "x y@z.com", "", None, "x@.com"]
+    df = spark.createDataFrame([(x,) for x in good + bad], "v string")
+    assert {r["v"] for r in df.where(fn.is_valid_email(F.col("v"))).collect()} == set(good)

@@ -9,7 +9,8 @@ from sparkloom.operators import relational as rel
 from sparkloom.operators import rings
 from sparkloom.plans import contracts
 from sparkloom.plans.dag import Dag, Node
-from sparkloom.sources.log import Consumer, Log
+from sparkloom.sources.folders import Files, Versions
+from sparkloom.sources.log import Consumer, Log, LogConfig
 from sparkloom.sources.readers import TRANSACTION, decoded, random_transactions
 from sparkloom.streaming import jobs
 
@@ -112,7 +113,7 @@ def test_gapless_and_difference(spark):
 
 
 def spec(**over):
-    raw = {"dataset": "orders", "owner": "team", "stream": {"topic": "orders", "partitions": 3}, "table": {"name": "shop.orders", "partition_by": ["day(at)", "bucket(8, id)"]},
+    raw = {"dataset": "orders", "owner": "team", "stream": {"topic": "orders", "partitions": 3, "retention_hours": 24}, "table": {"name": "shop.orders", "partition_by": ["day(at)", "bucket(8, id)"]},
            "schema": {"version": 1, "fields": [{"name": "id", "type": "long", "required": True}, {"name": "at", "type": "timestamp"}]}}
     return raw | over
 
@@ -138,8 +139,38 @@ def test_shadow_swap(spark, tmp_path):
     df = spark.range(20).withColumn("p", F.col("id") % 3)
     first = contracts.shadow_swap(spark, df, str(tmp_path), "p", ["id"])
     second = contracts.shadow_swap(spark, df, str(tmp_path), "p", ["id"])
-    assert first != second and (tmp_path / "current").read_text() == second
-    assert spark.read.parquet(second).count() == 20
+    assert first != second and contracts.current_copy(spark, str(tmp_path)) == second
+    assert spark.read.parquet(second).count() == 20 and not Files(spark, first).exists()
+
+
+@pytest.mark.parametrize("over", [
+    {"dataset": "d" * 64}, {"description": 5}, {"owner": " "}, {"state": "gone"}, {"stream": {"topic": "t", "partitions": 3}}, {"stream": {"topic": "t" * 250, "partitions": 3, "retention_hours": 1}},
+    {"table": {"name": "a.b.c"}}, {"table": {"name": "shop.orders", "partition_by": ["day(no)"]}}, {"schema": {"version": 1, "fields": [{"name": "f" * 64, "type": "int"}]}},
+    {"schema": {"version": 1, "fields": [{"name": "a", "type": " decimal(8,2)"}]}},
+])
+def test_contract_limits(over):
+    assert contracts.parse_spec(spec())[0] is not None
+    raw = spec(**over) | ({"table": None} if "schema" in over else {})
+    assert contracts.parse_spec(raw)[0] is None and len(contracts.parse_spec(raw)[1]) == 1
+
+
+def test_contract_files(spark, tmp_path):
+    import yaml
+
+    (tmp_path / "b.yaml").write_text(yaml.safe_dump(spec(dataset="b")))
+    (tmp_path / "a.yml").write_text("x: [")
+    (tmp_path / "c.txt").write_text("no")
+    loaded = contracts.load_specs(str(tmp_path))
+    assert [f for f, _, _ in loaded] == ["a.yml", "b.yaml"] and loaded[0][1] is None and loaded[1][1].dataset == "b"
+    assert [r["source"] for r in contracts.problems_table(spark, loaded).collect()] == ["a.yml"]
+
+
+def test_decimals_are_compared_as_types(spark):
+    field = contracts.Field
+    one, two = contracts.Schema(1, (field("a", "decimal(8,2)"),)), contracts.Schema(1, (field("a", "decimal(8, 2)"),))
+    assert contracts.compatibility(spark, one, two)[2] == 0
+    wider = contracts.schema_changes(contracts.fields_table(spark, two), contracts.fields_table(spark, contracts.Schema(2, (field("a", "decimal(9,  2)"),)))).collect()
+    assert [tuple(r) for r in wider] == [("a", "widened decimal(8,2) -> decimal(9,2)", False)]
 
 
 def test_dag():
@@ -156,28 +187,148 @@ def test_dag():
     assert d.edges == []
 
 
+def records(spark, a, b):
+    return spark.range(a, b).select("id", F.concat(F.lit("record-"), "id").alias("payload"))
+
+
 def test_log_and_consumers(spark, tmp_path):
-    log = Log(spark, str(tmp_path))
-    records = lambda a, b: spark.range(a, b).select("id", F.concat(F.lit("record-"), "id").alias("payload"))
-    assert log.append(records(0, 6), "id") == 0 and log.append(records(6, 10), "id") == 6
+    log = Log(spark, str(tmp_path), LogConfig(segment_bytes=6 * 24))
+    assert log.append(records(spark, 0, 6), "id") == 0 and log.append(records(spark, 6, 10), "id") == 6
     assert log.next_offset() == 10 and log.read(7) == b"record-7" and log.read(99) is None
     c = Consumer(log, "g")
     assert [o for o, _ in c.poll(4)] == [0, 1, 2, 3] and Consumer(log, "g").position == 0
     c.commit()
     again = Consumer(log, "g")
-    assert again.position == 4 and [o for o, _ in again.poll(100)] == list(range(4, 10)) and again.poll(5) == []
+    assert again.position == 4 and again.lag() == 6 and [o for o, _ in again.poll(100)] == list(range(4, 10)) and again.poll(5) == []
     assert Consumer(log, "other").position == 0
     assert log.delete_up_to(6) == 1 and log.first_offset() == 6 and Consumer(log, "g").position == 6
     assert log.delete_up_to(100) == 0
     with pytest.raises(ValueError):
         log.read_from(0, 1)
     with pytest.raises(ValueError):
-        log.append(records(0, 0), "id")
+        log.append(records(spark, 0, 0), "id")
+
+
+def test_damaged_commits_start_over_or_fall_back(spark, tmp_path):
+    log = Log(spark, str(tmp_path))
+    log.append(records(spark, 0, 9), "id")
+    c = Consumer(log, "g")
+    for limit in (2, 3):
+        c.poll(limit)
+        c.commit()
+    newest = sorted((tmp_path / "groups/g").glob("v*"))[-1]
+    for crc in (tmp_path / "groups/g").glob(".*crc"):
+        crc.unlink()
+    newest.write_text("1\n")  # torn: the version before holds
+    assert Consumer(log, "g").position == 2
+    for file in (tmp_path / "groups/g").glob("v*"):
+        file.write_text("3\nabc")
+    assert Consumer(log, "g").position == 0
+
+
+def test_appends_of_one_record_and_rolls(spark, tmp_path):
+    log = Log(spark, str(tmp_path), LogConfig(segment_bytes=50))
+    assert [log.append(records(spark, k, k + 1), "id") for k in range(3)] == [0, 1, 2]
+    assert log.append(records(spark, 3, 9), "id") == 3
+    again = Log(spark, str(tmp_path), LogConfig(segment_bytes=50))
+    # 24 bytes a record: a segment holds 50 or more after its third.
+    assert [(r["offset"], r["segment_base"], bytes(r["payload"])) for r in again.rows().orderBy("offset").collect()] == [(k, k // 3 * 3, f"record-{k}".encode()) for k in range(9)]
+    assert again.delete_up_to(5) == 1 and again.first_offset() == 3 and [r["offset"] for r in again.read_from(4, 3).collect()] == [4, 5, 6]
+    assert again.delete_up_to(9) == 1 and again.first_offset() == 6 and again.next_offset() == 9
+    assert again.rows().count() == 3
+
+
+def test_torn_appends_are_invisible(spark, tmp_path, monkeypatch):
+    log = Log(spark, str(tmp_path))
+    log.append(records(spark, 0, 4), "id")
+
+    def fail(*_):
+        raise OSError("disk")
+
+    monkeypatch.setattr(log._commits, "write", fail)
+    with pytest.raises(OSError):
+        log.append(records(spark, 4, 6), "id")
+    assert log.next_offset() == 4 and log.rows().count() == 4 and len(list((tmp_path / "records").glob("batch*"))) == 2
+    with pytest.raises(RuntimeError):
+        log.append(records(spark, 4, 6), "id")
+    again = Log(spark, str(tmp_path))
+    assert again.append(records(spark, 4, 6), "id") == 4 and again.rows().count() == 6 and len(list((tmp_path / "records").glob("batch*"))) == 2
+    with pytest.raises(FileExistsError):  # another writer at the same place
+        Log(spark, str(tmp_path))._commits.write(f"{4:020d}", b"{}")
+
+
+def test_counts_survive_every_crash(spark, tmp_path, monkeypatch):
+    log = Log(spark, str(tmp_path / "log"))
+    log.append(spark.range(200).select("id", F.concat(F.lit("k"), F.col("id") % 7).alias("payload")), "id")
+    path, want, turn = str(tmp_path / "counts"), {f"k{k}": len(range(k, 200, 7)) for k in range(7)}, 0
+    save = Versions.save
+    while jobs.counted(spark, path)[1] < 200:
+        turn += 1
+
+        def dies(self, data, turn=turn):
+            if turn % 3 == 1:
+                raise OSError("killed before the commit")
+            save(self, data)
+            if turn % 3 == 2:
+                raise OSError("killed after the commit")
+
+        monkeypatch.setattr(Versions, "save", dies)
+        try:
+            jobs.count_next(log, path, 64)
+        except OSError:
+            pass
+    monkeypatch.setattr(Versions, "save", save)
+    assert jobs.count_next(log, path, 64) == 0 and turn > 4
+    assert {r["key"]: r["count"] for r in jobs.counted(spark, path)[0].collect()} == want
+
+
+def test_keyed_and_file_sinks(spark, tmp_path):
+    rows = random_transactions(spark, 300, seed=9).withColumn("n", F.lit(1))
+    sent = jobs.by_key(rows, "senderAccount", 4).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    kept = {}
+    for r in sent.orderBy("at").collect():
+        kept.setdefault(r["senderAccount"], []).append((r["part"], r["timestamp"]))
+    assert all(len({p for p, _ in own}) == 1 and [t for _, t in own] == sorted(t for _, t in own) for own in kept.values())
+    rows.coalesce(2).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run adds nothing
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        query = jobs.to_files(stream, str(tmp_path / "out"), str(tmp_path / "c"), once=True)
+        query.awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ranks_of_many_wide_rows(spark, adaptive):
+    """Millions of rows, several columns, in no order: every rank and block is right, whatever columns are read."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 3_000_000
+        wide = spark.range(n, numPartitions=16).select(F.xxhash64("id").alias("hash"), (F.col("id") * 7919 % n).alias("k"), F.repeat(F.lit("x"), 20).alias("pad"))
+        ranked = rel.with_rank(wide, "k")
+        assert ranked.where("rank <> k").count() == 0 and ranked.agg(F.bit_xor("hash"), F.max("pad"), F.count_if(F.col("rank") != F.col("k"))).first()[2] == 0
+        got = rel.blocks(wide, "k", 3).groupBy("block").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"), F.max("pad")).orderBy("block").collect()
+        assert [(r["n"], r["a"], r["b"]) for r in got] == [(n // 3, i * n // 3, (i + 1) * n // 3 - 1) for i in range(3)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_ranks_of_odd_values(spark):
+    texts = [(f"t{k % 977:03}-{k}",) for k in range(3000)] + [(None,)]
+    df = spark.createDataFrame(texts, "v string")
+    got = {r["v"]: r["rank"] for r in rel.with_rank(df, "v").collect()}
+    assert got == {v: i for i, v in enumerate([None, *sorted(t for (t,) in texts if t)])}
+    totals = rel.running_total(spark.range(1, 500), "id", F.col("id"), "before").collect()
+    assert all(r["before"] == r["id"] * (r["id"] - 1) // 2 for r in totals)
+    assert rel.with_rank(spark.range(0), "id").count() == 0
 
 
 def test_decoding_drops_malformed(spark):
-    df = spark.createDataFrame([('{"transactionId":"t","senderAccount":"A","receiverAccount":"B","amount":1,"timestamp":0}',), ("{no",), (None,)], "value string")
-    assert decoded(df, TRANSACTION).count() == 1
+    good = ['{"transactionId":"t","senderAccount":"A","receiverAccount":"B","amount":1,"timestamp":0}', '{"senderAccount":"A","amount":2}', '{"transactionId":null}', "{}"]
+    df = spark.createDataFrame([(x,) for x in [*good, "{no", "[]", "7", '"x"', "", None]], "value string")
+    got = decoded(df, TRANSACTION)
+    assert got.columns == TRANSACTION.fieldNames() and got.count() == len(good)
+    assert got.where("transactionId is null and senderAccount = 'A' and amount = 2").count() == 1
 
 
 def test_naive_split_counts_twice(spark):

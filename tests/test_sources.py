@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as fn
 from sparkloom.sources import readers
-from sparkloom.sources.log import LogConfig, encoded_segment, read_segments, segments_by_size
+from sparkloom.sources.log import LogConfig, encoded_segment, read_segments, recovered_segment, segments_by_size
 from sparkloom.streaming import jobs
 
 
@@ -15,6 +15,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"a": 1}, {"a": 2, "b": "x"}]')
     (tmp_path / "b.json").write_text('{"a": 1}')
     assert readers.read_json(spark, str(tmp_path / "a.json")).count() == 2 and readers.read_json(spark, str(tmp_path / "b.json")).count() == 1
+    for other in ("7", '"x"', "[1, 2]", "{broken"):
+        (tmp_path / "c.json").write_text(other)
+        assert readers.read_json(spark, str(tmp_path / "c.json")).count() == 0
 
 
 def test_generators(spark):
@@ -36,9 +39,22 @@ def test_raw_segments(spark, tmp_path):
 
 
 def test_segments_by_size(spark):
-    df = spark.range(20).select(F.col("id").alias("offset"), F.lit(30).alias("n"))
-    got = [r["segment"] for r in segments_by_size(df, F.col("n"), 100).orderBy("offset").collect()]
-    assert got == [k * 30 // 100 for k in range(20)]
+    """A segment that holds as many bytes or more is closed before the next record."""
+    sizes = [30] * 8 + [250, 1, 99, 100, 5] + [40] * 9
+    df = spark.createDataFrame(list(enumerate(sizes)), "offset long, n int").repartition(5)
+    want, base, held = [], 0, 0
+    for k, n in enumerate(sizes):
+        if held >= 100:
+            base, held = k, 0
+        held += n
+        want.append(base)
+    assert [r["segment_base"] for r in segments_by_size(df, F.col("n"), 100).orderBy("offset").collect()] == want
+
+
+def test_torn_tail_is_cut():
+    data = encoded_segment([(0, b"a"), (1, b"bc")])
+    assert recovered_segment(data) == (data, 0) and recovered_segment(data[:-1]) == (encoded_segment([(0, b"a")]), 17)
+    assert recovered_segment(data + b"\0" * 5) == (data, 5) and recovered_segment(b"") == (b"", 0)
 
 
 def test_windows_drop_nothing_in_batch_and_counts_in_streams(spark, tmp_path):

@@ -506,3 +506,6 @@ def contract_plan(spark: SparkSession, d: str) -> DataFrame:
 def task_dependencies(spark: SparkSession, d: str) -> DataFrame:
     links = table(spark, d, "nation").select(F.col("n_name").alias("src"), F.col("n_regionkey").alias("dst"))
     return rings.dependencies(links).select("dst", F.concat_ws(",", "upstream").alias("upstream"))
+
+
+from sparkloom import queries_io  # noqa: E402, F401  (registers its queries; it uses the views above)

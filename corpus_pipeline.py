@@ -8,29 +8,26 @@ stages, run() writes the rows to the shared folder and reads them back, so that
 from __future__ import annotations
 
 import functools
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import jaccard_join, language_id, packing, quality_rules, repeat_spans
-from sparkloom.llm.shared import remove, shared_dir, tables_of
+from sparkloom.llm.shared import remove, scratch, staging
 
-#: Tables that the stage before has staged; its result is written by the time the next stage begins.
-_held: list[str] = []
+#: Tables that the latest stage over each folder of inputs has staged.
+_held: dict[tuple[str, str], list[str]] = {}
 
 
 def _tidy(stage):  # noqa: ANN001, ANN202
-    """A stage that removes what the stage before it has staged, and remembers what it stages itself."""
+    """A stage that removes what the stage before it over the same inputs has staged, since that one's result is written by now."""
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _held:
-            remove(spark, _held.pop())
-        tables = tables_of(spark)
-        before = len(tables)
-        out = stage(spark, docs, sf_dir)
-        _held.extend(tables[before:])
-        del tables[before:]
+        for path in _held.pop((spark.sparkContext.applicationId, sf_dir), []):
+            remove(spark, path)
+        with staging() as own:
+            out = stage(spark, docs, sf_dir)
+        _held[spark.sparkContext.applicationId, sf_dir] = own
         return out
 
     return run_stage
@@ -79,10 +76,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of ``sf_dir``."""
+    """Applies the stages to the documents of ``sf_dir``. The input of the last stage stays, since the result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -29,19 +29,19 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b: longs); component is the least node reachable.
 
-    Null ends, self-links and repeated links are harmless.
+    Null ends, self-links and repeated links are harmless. ``rows`` may bound the number of links.
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct()
-    edges = staged(edges, "links")
+    edges = staged(edges, "links", rows)
     mark = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
         mark = now
-        edges = staged(_step(_step(edges, large=True), large=False), "links")
+        edges = staged(_step(_step(edges, large=True), large=False), "links", now[0])  # the number of links only falls
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

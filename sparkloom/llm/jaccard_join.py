@@ -62,7 +62,7 @@ def _bins(hashes: np.ndarray) -> np.ndarray:
 
 
 def _facts(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of two kinds from one pass: (doc_id, ka, kb, n) of each document, and (bin, total) of each task's n-grams."""
+    """Rows of two kinds from one pass: (ka, kb, n, least doc_id) of each text, and (bin, total) of all n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(1 << BIN_BITS, np.int64)
@@ -73,19 +73,21 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
                 counts.append(np.diff(bounds))
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             none = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "ka", "kb")), pa.array(n, pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ka", "kb")), none, batch.column("doc_id"), pa.array(n, pa.int64())], names)
         at = np.flatnonzero(totals)
         none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array(at, pa.int64()), pa.array(totals[at], pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(at, pa.int64()), none, pa.array(totals[at], pa.int64())], names)
 
-    names = ["doc_id", "ka", "kb", "n", "bin", "total"]
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    names = ["ka", "kb", "bin", "doc_id", "n"]
+    each = docs.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("ka", "kb", "bin")
+    sums = each.agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    return sums.select(F.monotonically_increasing_id().alias("node"), "ka", "kb", "n", "least", "bin", "total")
 
 
 def _classes(facts: DataFrame) -> np.ndarray:
     """The class of each bin: 0 unless its count stands out from chance, then higher with the excess."""
     totals = np.zeros(1 << BIN_BITS)
-    for r in facts.where("bin is not null").groupBy("bin").agg(F.sum("total").alias("total")).collect():
+    for r in facts.where("bin is not null").select("bin", "total").collect():
         totals[r["bin"]] = r["total"]
     mean = totals.mean()
     excess = np.maximum(0, totals - mean - 6 * np.sqrt(mean) - 1)
@@ -382,36 +384,37 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t")).select("doc_id", "_t", *_key())
     facts = staged(_facts(own, size), "shingle-facts")
     classes = _classes(facts)
-    rows = facts.where("bin is null").select("doc_id", "ka", "kb", "n")
-    nodes = rows.where("n > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("node"), "ka", "kb", "n", "least", F.coalesce("least", F.lit(-1)).alias("pick")), "nodes")
+    texts_of = facts.where("bin is null").drop("bin", "total")
+    nodes = texts_of.where("n > 0").withColumn("pick", F.coalesce("least", F.lit(-1)))
     # A node with a partner shares SHARED tokens, or all that it must share. Two texts with one ka would get both texts' tokens, which only adds candidates.
     lists = _lists(own.select("_t", "ka"), classes, size, threshold).join(nodes, "ka").where(f"size(l) >= least({SHARED}, ({threshold} * n + 99) div 100)")
     lists = staged(lists.select("node", "n", "ka", "kb", "pick", "l"), "prefixes")
     copies = zipped(own.select("_t", "ka", "kb", F.coalesce("doc_id", F.lit(-1)).alias("pick")).where("_t <> ''"))
     texts = staged(copies.join(lists.select("node", "ka", "kb", "pick"), ["ka", "kb", "pick"]).dropDuplicates(["ka", "kb", "pick"]).select("node", "_z"), "texts")
 
-    stars = staged(_stars(lists.select("node", "n", F.inline("l")), threshold), "stars")
+    many = lists.count()
+    stars = staged(_stars(lists.select("node", "n", F.inline("l")), threshold), "stars", many)
     arms = _chunked(stars.where("a is not null"), "a").select(F.col("a").alias("ga"), F.col("chunk").alias("gb"), "node", F.lit(1).alias("side"))
     centres = arms.select("ga", "gb", F.col("ga").alias("node"), F.lit(0).alias("side")).distinct()
-    first = components(_joined(arms.unionAll(centres).withColumn("comp", F.col("node")), texts, classes, size, threshold))
+    first = components(_joined(arms.unionAll(centres).withColumn("comp", F.col("node")), texts, classes, size, threshold), many)
 
     placed = lists.select("node", "n").join(first, "node", "left").join(stars.drop("n"), "node", "left")
     base = F.when(F.col("component").isNotNull(), F.col("component") * 2).otherwise(F.coalesce("home", "a", "node") * 2 + 1)
     placed = _chunked(placed.select("node", "n", F.coalesce("component", "node").alias("comp"), base.alias("base")), "base")
-    placed = staged(placed.select("node", "n", "comp", F.xxhash64("base", "chunk").alias("cell")), "cells")
+    placed = staged(placed.select("node", "n", "comp", F.xxhash64("base", "chunk").alias("cell")), "cells", many)
     entries = lists.select("node", "l").join(placed, "node").select("n", "comp", "cell", F.inline("l"))
-    pairs = staged(_cell_pairs(entries, threshold), "cell-pairs")
-    uses = pairs.select("ga", "gb", F.col("ga").alias("cell"), F.expr("if(ga = gb, 2, 0)").alias("side")).unionAll(pairs.where("ga <> gb").select("ga", "gb", F.col("gb").alias("cell"), F.lit(1).alias("side")))
+    both = "if(ga = gb, array(struct(ga as cell, 2 as side)), array(struct(ga as cell, 0 as side), struct(gb as cell, 1 as side)))"
+    uses = _cell_pairs(entries, threshold).select("ga", "gb", F.inline(F.expr(both)))
     found = _joined(uses.join(placed, "cell").select("ga", "gb", "side", "node", "comp"), texts, classes, size, threshold)
     last = components(found).select(F.col("node").alias("comp"), "component")
 
     held = placed.select("node", "comp").join(last, "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))
-    ids = staged(nodes.join(held, "node", "left").select("ka", "kb", "least", F.coalesce("component", "node").alias("component")), "components")
-    least = ids.groupBy("component").agg(F.min("least").alias("least"))
-    ids = ids.select("ka", "kb", "component").join(least, "component")
-    out = rows.join(ids, ["ka", "kb"], "left")
-    return out.select("doc_id", "ka", "kb", F.col("n").alias("n_shingles"), "component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    ids = staged(texts_of.join(held, "node", "left").select("ka", "kb", "n", "least", F.coalesce("component", "node").alias("component")), "components")
+    least = ids.where("n > 0").groupBy("component").agg(F.min("least").alias("least"))
+    ids = ids.drop("least").join(least, "component", "left")
+    out = own.drop("_t").join(ids, ["ka", "kb"])
+    some = F.col("n") > 0
+    return out.select("doc_id", "ka", "kb", F.col("n").alias("n_shingles"), F.when(some, F.col("component")).alias("component"), F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.sources.folders import Files, scratch, shared_dir  # noqa: F401
+
 #: The ASCII white space that the word contracts name.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -21,73 +21,62 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 STEP_BYTES = 400_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "sparkloom-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Spark removes the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+#: Rows of a file of a small table.
+FILE_ROWS = 250_000
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: the lineage ends there.
 
-    The folder's name is unique. Shuffle files of the write are let go at once. :func:`tables_of` names the tables
-    written so far, and :func:`remove` deletes them once the results that read them are written.
+    The folder's name is unique, and its shuffle files go with the write. Where a bound of its ``rows`` is known, the table
+    has a file for every FILE_ROWS of them, so that small tables are not many tiny files. The table stays
+    until :func:`remove` deletes it; :func:`staging` tells the paths.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    tables_of(spark).append(path)
-    gc.collect()
-    spark._jvm.System.gc()  # Spark drops the shuffle files of plans that nobody holds
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+    path = scratch(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    _paths.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-_written: dict[int, list[str]] = {}
-
-
-def tables_of(spark: SparkSession) -> list[str]:
-    """The paths of the tables that this session has staged and not removed; callers may take paths out."""
-    return _written.setdefault(id(spark), [])
+_paths: ContextVar[list[str]] = ContextVar("paths", default=[])  # noqa: B039  (what is staged outside of staging() is nobody's to delete)
 
 
-def forget_staged(spark: SparkSession) -> None:
-    """Deletes every table that this session staged. Call it after the results that read them are written."""
-    for path in _written.pop(id(spark), []):
-        remove(spark, path)
+@contextmanager
+def staging() -> Iterator[list[str]]:
+    """Collects the paths of what is staged inside. Delete them once the results that read them are written."""
+    own: list[str] = []
+    token = _paths.set(own)
+    try:
+        yield own
+    finally:
+        _paths.reset(token)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    Files(spark, path).delete()
 
 
-def forget_staged(spark: SparkSession) -> None:
-    """Deletes every table that this session staged. Call it after the results that read them are written."""
-    for path in _written.pop(id(spark), []):
-        remove(spark, path)
-
-
-def small_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Bounds what one Arrow batch to a Python worker holds, whatever the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch to a Python worker holds, whatever the length of the texts: the same for all operators."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def row_key() -> list[Column]:
-    """Two hashes of doc_id and text that name a document. Rows equal in both share them and behave alike."""
-    return [
-        F.xxhash64(F.col("doc_id"), text_or_empty()).alias("ka"),
-        F.hash(text_or_empty(), F.col("doc_id")).cast("long").alias("kb"),
-    ]
-
-
 def byte_view(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array without nulls, and the offset of each string (one more at the end)."""
     if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type):

@@ -31,6 +31,7 @@ from sparkloom.llm.shared import mixed, small_batches, staged
 THRESHOLD = 0.93
 TABLES, SCALE, PROBES, SEED = 8, 4.0, 8, 20240101
 BLOCK = 512
+NO_CELL = np.iinfo(np.int64).max
 
 
 def lattice_roots() -> np.ndarray:
@@ -85,9 +86,9 @@ def _cell(points: np.ndarray) -> np.ndarray:
 
 
 def cells(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Cells of unit vectors: (vectors, TABLES, 1 + PROBES) 32-bit numbers, the home first.
+    """Cells of unit vectors: (vectors, TABLES, 1 + PROBES) numbers, the home first.
 
-    A number holds its table and a hash of label and points; cells that share a number only cost comparisons.
+    A number holds its table and a 60-bit hash of label and points; cells that share a number only cost comparisons.
     """
     out = np.empty((len(x), TABLES, 1 + PROBES), np.int64)
     half = PROBES // 2
@@ -104,7 +105,7 @@ def cells(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
         seed = labels.view(np.uint64) * _PLACES[0] + np.uint64(x.shape[1])
         join = lambda a, b: mixed(a * _PLACES[1] + mixed(b) + seed.reshape(-1, *[1] * (a.ndim - 1)))
         keys = [join(codes[0], codes[1])[:, None], join(near[0], codes[1][:, None] + np.zeros_like(near[0])), join(codes[0][:, None] + np.zeros_like(near[1]), near[1])]
-        out[:, t] = (np.concatenate(keys, axis=1) >> np.uint64(35)).astype(np.int64) | (t << 29)
+        out[:, t] = (np.concatenate(keys, axis=1) >> np.uint64(4)).astype(np.int64) | (t << 60)
     return out.astype(np.int64)
 
 
@@ -169,7 +170,7 @@ def compared(rows: dict[str, np.ndarray], key: int, low: int, high: int, thresho
             break
         label = least
     a, b = np.nonzero(np.triu(linked, 1))
-    table = (key >> 29) & 7
+    table = key >> 60
     first = np.ones(len(a), bool)
     for t in range(table + 1):  # a pair that meets in an earlier table, or at a smaller cell of this one, counts there
         go = np.flatnonzero(first)
@@ -180,7 +181,7 @@ def compared(rows: dict[str, np.ndarray], key: int, low: int, high: int, thresho
         if t < table:
             first[go[at_a | at_b]] = False
         else:
-            least_key = np.minimum(np.where(at_a, ka[:, 0], 1 << 62), np.where(at_b, kb[:, 0], 1 << 62))
+            least_key = np.minimum(np.where(at_a, ka[:, 0], NO_CELL), np.where(at_b, kb[:, 0], NO_CELL))
             first[go[least_key != key]] = False
     counts = np.bincount(a[first], weight[b[first]], n) + np.bincount(b[first], weight[a[first]], n)
     return counts.astype(np.int64), label
@@ -224,7 +225,7 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``embeddings`` (vec_id, embedding, label)."""
-    small_batches(embeddings.sparkSession, "8m")
+    small_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     good = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     found = staged(links(rows.where(good), threshold), "vector-links")

@@ -8,8 +8,9 @@ of its contexts by Larsson-Sadakane refinement (only groups that are still tied
 lies as far ahead as is already sorted), the common prefixes by Kasai's rule (all contexts step in parallel), and
 finds windows that share WIDTH bytes with a neighbour.
 
-An anchor's runs go to one shard, unless there are too many; then they are split over several, and sorted digests
-of their windows are merged across shards by binary search. So no task holds an unbounded group.
+An anchor's runs go to one shard, unless there are too many; then they are split over several. Each of these shards gives a
+sorted run of digests of its windows, and the runs are merged two by two, the digests of one looked up in the other by binary
+search, in shares of the digests of bounded size. So no task holds an unbounded group.
 
 Defined cases: a null text is empty; texts shorter than WIDTH bytes are left alone; repeated rows are copies of one
 another, so all of their windows repeat; an empty table gives no rows; bytes are UTF-8, and kept text
@@ -284,7 +285,7 @@ def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sharded(contexts: DataFrame, n_shards: int, width: int) -> DataFrame:
-    """(ka, p) of repeated runs within shards; for split anchors also (ka, p, digest) of each class of windows."""
+    """(ka, p) of repeated runs within shards; for split anchors also (ka, p, shard, digest) of each class of windows."""
     share = F.when(F.col("runs") > MOST_RUNS, F.pmod(F.xxhash64("ch"), F.ceil(F.col("runs") / MOST_RUNS))).otherwise(F.lit(0).cast("long"))
     dealt = contexts.withColumn("shard", F.pmod(F.xxhash64("kh", share), F.lit(n_shards)))
     dealt = dealt.dropDuplicates(["kh", "ch"]).repartition("shard").sortWithinPartitions("shard")
@@ -296,58 +297,89 @@ def _sharded(contexts: DataFrame, n_shards: int, width: int) -> DataFrame:
             for shard, *row in zip(*columns, strict=True):
                 if shard != now:
                     if rows:
-                        yield close(rows)
+                        yield close(now, rows)
                     now, rows = shard, []
                 rows.append(row)
         if rows:
-            yield close(rows)
+            yield close(now, rows)
 
-    def close(rows: list[list]) -> pa.RecordBatch:
+    def close(shard: int, rows: list[list]) -> pa.RecordBatch:
         often, labels = repeated_starts([r[4] for r in rows], width)
         out: list[tuple] = []
         told: set[int] = set()
         for (ka, p, twin, runs, context), some, label in zip(rows, often, labels, strict=True):
             if not twin:
-                out += [(ka, q, None) for q in _pieces(some, p)]
+                out += [(ka, q, None, None) for q in _pieces(some, p)]
             if runs > MOST_RUNS:
                 for k, name in enumerate(label.tolist()):
                     if name not in told:
                         told.add(name)
                         own = (p >> 40 << 40) | ((((p >> 8) & 0xFFFFFFFF) + k) << 8)
                         digest = hashlib.blake2b(context[k : k + width], digest_size=16).digest()
-                        out.append((ka, own, digest))
-        columns = list(zip(*out, strict=True)) or [()] * 3
-        kinds = [pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ka", "p", "digest"])
+                        out.append((ka, own, shard, digest))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["ka", "p", "shard", "digest"])
 
-    return dealt.mapInArrow(run, "ka long, p long, digest binary")
+    return dealt.mapInArrow(run, "ka long, p long, shard long, digest binary")
 
 
-def _merged(classes: DataFrame) -> DataFrame:
-    """Windows of split anchors that several shards have: each sorted block is searched for the digests around it."""
+#: Digests that a task merges at once.
+MERGED = 200_000
+
+#: Digests of windows in ascending order, the window (ka, p) that stands for each, and whether it is told as repeated.
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def merged_pair(a: Run, b: Run) -> tuple[Run, list[tuple[int, int]]]:
+    """Two runs as one, and the windows found repeated: each digest of ``b`` is looked up in ``a`` by binary search."""
+    place = np.searchsorted(a[0], b[0])
+    hit = place < len(a[0])
+    hit[hit] = a[0][place[hit]] == b[0][hit]
+    at = place[hit]
+    new_a, new_b = at[~a[3][at]], np.flatnonzero(hit)[~b[3][hit]]
+    found = [*zip(a[1][new_a].tolist(), a[2][new_a].tolist(), strict=True), *zip(b[1][new_b].tolist(), b[2][new_b].tolist(), strict=True)]
+    a[3][at] = True
+    return tuple(np.insert(x, place[~hit], y[~hit]) for x, y in zip(a, b, strict=True)), found
+
+
+def _merged(classes: DataFrame, n_parts: int) -> DataFrame:
+    """(ka, p): windows of split anchors that several shards have. Shards' sorted runs are merged two by two, in ``n_parts`` shares of the digests."""
+    dealt = classes.withColumn("part", F.pmod(F.xxhash64("digest"), F.lit(n_parts))).repartition("part").sortWithinPartitions("part", "shard", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: tuple[bytes, int, int, bool] | None = None
+        now: tuple | None = None
+        runs: list[Run] = []
+        rows: list[tuple[bytes, int, int]] = []
+
+        def close_run() -> None:
+            if rows:
+                d, ka, p = zip(*rows, strict=True)
+                runs.append((np.array(d, "S16"), np.array(ka, np.int64), np.array(p, np.int64), np.zeros(len(d), bool)))
+                rows.clear()
+
+        def close_part() -> pa.RecordBatch:
+            found: list[tuple[int, int]] = []
+            while len(runs) > 1:
+                pairs = [merged_pair(x, y) for x, y in zip(runs[::2], runs[1::2], strict=False)]
+                found += [f for _, some in pairs for f in some]
+                runs[:] = [r for r, _ in pairs] + (runs[-1:] if len(runs) % 2 else [])
+            runs.clear()
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["ka", "p"])
+
         for batch in batches:
-            digests = batch.column("digest").to_pylist()
-            keys = np.array([int.from_bytes(d[:8], "big") for d in digests], dtype=np.uint64)
-            low, high = np.searchsorted(keys, keys, "left"), np.searchsorted(keys, keys, "right")
-            ka, p = batch.column("ka").to_pylist(), batch.column("p").to_pylist()
-            out = []
-            for k, d in enumerate(digests):
-                hit = any(digests[j] == d for j in (k - 1, k + 1) if low[k] <= j < high[k])
-                if k == 0 and tail and tail[0] == d:
-                    hit = True
-                    if not tail[3]:
-                        out.append((tail[1], tail[2]))
-                if hit:
-                    out.append((ka[k], p[k]))
-            if digests:
-                tail = (digests[-1], ka[-1], p[-1], bool(out) and out[-1] == (ka[-1], p[-1]))
-            columns = list(zip(*out, strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["ka", "p"])
-
-    return classes.repartition("digest").sortWithinPartitions("digest").mapInArrow(run, "ka long, p long")
+            for part, shard, digest, ka, p in zip(*(batch.column(c).to_pylist() for c in ("part", "shard", "digest", "ka", "p")), strict=True):
+                if now != (part, shard):
+                    close_run()
+                    if now and now[0] != part:
+                        yield close_part()
+                    now = (part, shard)
+                rows.append((digest, ka, p))
+        close_run()
+        yield close_part()
+
+    return dealt.mapInArrow(run, "ka long, p long")
 
 
 def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -360,7 +392,8 @@ def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     starts = F.col("p").bitwiseAND(0xFF)
     total = reps.agg(F.sum(starts + width)).first()[0] or 0
     found = staged(_sharded(_contexts(docs, reps, width), max(1, -(-total // SHARD_BYTES)), width), "shards")
-    merged = _merged(found.where("digest is not null"))
+    classes = found.where("digest is not null")
+    merged = _merged(classes, max(1, -(-classes.count() // MERGED)))
     return runs.where("twin").select("ka", "p").unionAll(found.where("digest is null").select("ka", "p")).unionAll(merged)
 
 

@@ -2,7 +2,7 @@
 
 Features of the whole text are binned by quantiles. Cyclic boosting visits one feature after another and fits a
 shallow tree on the residuals of that feature alone, adding its leaves to the feature's lookup table; afterwards the
-pairs of features that explain most of what is left get two-dimensional tables in the same way. A score is a sum of
+pairs of features that explain most of what is left get two-dimensional tables by trees over both features. A score is a sum of
 table entries: vectorised additions over bins.
 
 Defined cases: null and empty texts have features of an empty text and a score; a null label is no label; rows
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import byte_view, prefix_sums, small_batches, span_hash, steps, text_or_empty
-from sparkloom.llm.toxicity import crc_mod, labelled_sample
+from sparkloom.llm.toxicity import Sample, crc_mod, labelled_sample
 
 FEATURES = (
     "log_words", "mean_word", "upper", "digits", "symbols", "marks", "bars", "other_punct", "high_bytes", "lines_per_word",
@@ -144,12 +144,33 @@ def _tree(gradient: np.ndarray, weight: np.ndarray, rows: np.ndarray, leaves: in
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
-    """Cyclic boosting of single features, then of the strongest pairs. Classes weigh equally."""
+def _pair_tree(gradient: np.ndarray, weight: np.ndarray, rows: np.ndarray, least: int) -> np.ndarray:
+    """Leaf values over a table of cells: one cut of each feature, the best two together, make four leaves.
+
+    Both cuts are chosen at once, since each alone may tell nothing. A leaf of fewer rows than ``least`` stays at nothing.
+    """
+    a, b = gradient.shape
+    sums = np.zeros((3, a + 1, b + 1))
+    sums[:, 1:, 1:] = np.stack([gradient, weight, rows]).cumsum(axis=1).cumsum(axis=2)
+    cut = sums[:, 1:a, 1:b]
+    if not cut.size:
+        return np.zeros((a, b))
+    right, below, every = sums[:, 1:a, b:] - cut, sums[:, a:, 1:b] - cut, sums[:, a:, b:]
+    leaves = np.stack([cut, right, below, every - cut - right - below])
+    values = np.where(leaves[:, 2] >= least, leaves[:, 0] / (leaves[:, 1] + 1.0), 0.0)
+    i, j = np.unravel_index((values * leaves[:, 0]).sum(axis=0).argmax(), cut.shape[1:])
+    out = np.empty((a, b))
+    out[: i + 1, : j + 1], out[: i + 1, j + 1 :], out[i + 1 :, : j + 1], out[i + 1 :, j + 1 :] = values[:, i, j]
+    return out
+
+
+def fit(x: np.ndarray, y: np.ndarray, totals: tuple[int, int] | None = None) -> AdditiveModel:
+    """Cyclic boosting of single features, then of the strongest pairs. Classes weigh equally; then ``totals``, the true sizes of both classes, set the rate."""
     n, n_features = x.shape
     ones = y.sum()
+    zeros_all, ones_all = totals or (n - ones, ones)
     if n == 0 or ones == 0 or ones == n:
-        rate = (ones + 0.5) / (n + 1)
+        rate = (ones_all + 0.5) / (zeros_all + ones_all + 1)
         none = [np.zeros(0)] * n_features
         return AdditiveModel(float(np.log(rate / (1 - rate))), none, [np.zeros(1)] * n_features, none)
     scale = np.where(y == 1, n / (2 * ones), n / (2 * (n - ones)))
@@ -184,10 +205,10 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
     for _ in range(PAIR_ROUNDS):
         for (i, j), values in model.pairs.items():
             gradient, weight = parts()
-            step = RATE * cells(i, j, gradient) / (cells(i, j, weight) + 5.0) * (cells(i, j) >= LEAST_LEAF)
+            step = RATE * _pair_tree(cells(i, j, gradient), cells(i, j, weight), cells(i, j), LEAST_LEAF)
             values += step
             margin += step[rough[i], rough[j]]
-    model.bias += float(np.log(ones / (n - ones)))  # back from equal classes to the sample's rate
+    model.bias += float(np.log(max(ones_all, 1) / max(zeros_all, 1)))  # back from equal classes to the true rate
     return model
 
 
@@ -199,8 +220,8 @@ def features_of(texts: list[str]) -> np.ndarray:
     return features(*byte_view(pa.array(texts, pa.string()))) if texts else np.zeros((0, len(FEATURES)))
 
 
-def train(rows: list[tuple[str, int]]) -> AdditiveModel:
-    return fit(features_of([t for t, _ in rows]), np.array([y for _, y in rows], dtype=float))
+def train(sample: Sample) -> AdditiveModel:
+    return fit(features_of([t for t, _ in sample.rows]), np.array([y for _, y in sample.rows], dtype=float), sample.totals)
 
 
 def scored(docs: DataFrame, model: AdditiveModel) -> DataFrame:

@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import small_batches, text_or_empty
@@ -167,7 +167,7 @@ def _copy_key(text: str, label: int) -> tuple[int, bytes]:
     return label, hashlib.sha256(" ".join(text.lower().split()).encode("utf-8", "surrogatepass")).digest()
 
 
-def train(rows: list[tuple[str, int]], exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
+def train(sample: Sample, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
     """Learns terms from (text, label) rows, copies of a text counting once.
 
     Document frequencies of words and stems in both classes give smoothed ratios. A term's gain is its toxic documents
@@ -175,7 +175,7 @@ def train(rows: list[tuple[str, int]], exceptions: Sequence[str] = EXCEPTIONS) -
     accepted one begins, stays out: so each family of words is stood for by its most telling stem. Bias, slope and drag
     are fitted by logistic regression on the same rows.
     """
-    rows = list({_copy_key(text, y): (text, y) for text, y in reversed(rows)}.values())
+    rows = list({_copy_key(text, y): (text, y) for text, y in reversed(sample.rows)}.values())
     total = [sum(1 for _, y in rows if not y), sum(1 for _, y in rows if y)]
     toxic = Counter(t for text, y in rows if y for t in _terms(text))
     toxic = Counter({t: k for t, k in toxic.items() if k >= max(LEAST_DOCS, LEAST_SHARE * total[1])})
@@ -194,21 +194,22 @@ def train(rows: list[tuple[str, int]], exceptions: Sequence[str] = EXCEPTIONS) -
         if term not in begun and not any(term[:n] in weights for n in range(2, len(term))) and len(weights) < MOST_TERMS:
             weights[term] = logs[term]
             begun.update(term[:n] for n in range(2, len(term) + 1))
-    return fitted(Lexicon(weights, exceptions=exceptions), rows)
+    return fitted(Lexicon(weights, exceptions=exceptions), rows, sample.weights())
 
 
-def fitted(lexicon: Lexicon, rows: list[tuple[str, int]]) -> Lexicon:
-    """Newton steps of a ridge logistic regression on log mass and log length."""
+def fitted(lexicon: Lexicon, rows: list[tuple[str, int]], weights: tuple[float, float] = (1.0, 1.0)) -> Lexicon:
+    """Newton steps of a ridge logistic regression on log mass and log length; rows count by the weights of their classes."""
     if not rows:
         return lexicon
     mass = np.array([lexicon.mass(text) for text, _ in rows], dtype=float)
     x = np.column_stack([np.ones(len(rows)), np.log1p(mass[:, 0]), np.where(mass[:, 0] > 0, -np.log1p(mass[:, 1]), 0.0)])
     y = np.array([label for _, label in rows], dtype=float)
+    many = np.array(weights)[y.astype(int)]
     beta = np.zeros(3)
     ridge = np.diag([1e-3, 1e-2, 1.0])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ beta)
+        step = np.linalg.solve((x * (many * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (many * (y - p)) - ridge @ beta)
         beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -221,12 +222,37 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> list[tuple[str, int]]:
-    """At most ``most`` training rows (text, label), chosen by a hash of doc_id, half of them of the rarer class if it has them."""
-    own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
-    picked = own.where("_y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2).unionByName(own.where("_y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2))
-    found = docs.select("doc_id", text_or_empty().alias("_t")).join(F.broadcast(picked), "doc_id").select("doc_id", "_t", "_y").collect()
-    return [(r["_t"], r["_y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["_t"]))]
+@dataclass
+class Sample:
+    """Training rows (text, label), and how many labelled documents of each class there are to train on."""
+
+    rows: list[tuple[str, int]]
+    totals: tuple[int, int]
+
+    def weights(self) -> tuple[float, float]:
+        """How many labelled documents a row of each class stands for."""
+        held = [sum(1 for _, y in self.rows if y == k) for k in (0, 1)]
+        return tuple(t / h if h else 1.0 for t, h in zip(self.totals, held, strict=True))
+
+
+#: Bound of the bytes of training texts.
+SAMPLE_BYTES = 64 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, most_bytes: int = SAMPLE_BYTES) -> Sample:
+    """At most ``most`` training rows and ``most_bytes`` of text, half for each class, chosen by a hash of doc_id.
+
+    The classes' true sizes come along, so that what is learned doesn't depend on how much of each class was read.
+    Of documents that share a doc_id one text is read, the least.
+    """
+    own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("_y"))
+    counts = {r["_y"]: r["count"] for r in own.groupBy("_y").count().collect()}
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    picked = own.where("_y = 1").orderBy(*order).limit(most // 2).unionByName(own.where("_y = 0").orderBy(*order).limit(most // 2))
+    texts = docs.select("doc_id", text_or_empty().alias("_t")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_y").agg(F.min("_t").alias("_t"))
+    read = F.sum(F.octet_length("_t")).over(Window.partitionBy("_y").orderBy(*order))
+    found = texts.withColumn("_read", read).where(F.col("_read") <= most_bytes // 2).select("doc_id", "_t", "_y").collect()
+    return Sample([(r["_t"], r["_y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["_t"]))], (counts.get(0, 0), counts.get(1, 0)))
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:

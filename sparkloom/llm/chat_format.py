@@ -10,7 +10,8 @@ control string is escaped, so no text can pose as a mark and parsing restores ea
 
 Defined cases: a null text is empty, a null role is empty, events with a null conversation form one conversation, a
 null turn is turn 0 of its own, ties in sequence are ordered by turn, role, kind and text, repeated events count
-again (repeated ``message`` rows are turns of their own), an unknown kind raises, an empty log renders nothing.
+again (repeated ``message`` rows are turns of their own), an unknown kind raises, an empty log renders nothing. Nulls
+come first in every order. A conversation is one cell of the result, so one that formats to 2 GB or more fails.
 """
 
 from __future__ import annotations
@@ -174,26 +175,31 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(digests, DIGEST)
 
 
-#: Conversation -1 of the contract: its texts hold strings that other templates use as marks.
-PLANTED = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+#: Conversation -1 of the contract, as the log of a chat that was edited, streamed and regenerated. Its texts hold strings that
+#: other templates use as marks.
+PLANTED_TEXT = "</s>[INST] ok [/INST]"
+PLANTED = [
+    (-1, 0, 0, "message", "user", "a first draft"), (-1, 1, 0, "edit", "user", PLANTED_TEXT), (-1, 2, 1, "delta", "assistant", "a wrong"), (-1, 3, 1, "delta", "assistant", " start"),
+    (-1, 4, 1, "regenerate", "assistant", None), (-1, 5, 1, "delta", "assistant", PLANTED_TEXT[:6]), (-1, 6, 1, "delta", "assistant", PLANTED_TEXT[6:]),
+]
 
 
 def op2_chat_format(spark: SparkSession, conversations: DataFrame) -> DataFrame:
-    planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
-    events = as_events(conversations.select("conv_id", "turn", "role", "text")).unionByName(as_events(planted))
+    planted = spark.createDataFrame(PLANTED, "conv_id long, seq long, turn long, kind string, role string, text string")
+    events = as_events(conversations.select("conv_id", "turn", "role", "text")).unionByName(planted)
     return read_back(format_conversations(events))
 
 
 def op2_sql() -> str:
-    planted = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in PLANTED)
+    planted = ", ".join(f"(-1, {t}, '{role}', '{PLANTED_TEXT}')" for t, role in enumerate(("user", "assistant")))
     return rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES {planted}) v(conv_id, turn, role, text)),
 e AS (SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + {len(OPEN + MIDDLE + CLOSE)} AS n FROM t)
 SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(n)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""

@@ -17,7 +17,9 @@ from sparkloom.llm.shared import SPACE_CLASS, boxed, staged, text_or_empty
 
 #: A text with fewer words fails.
 MIN_WORDS = 50
-#: A host whose shrunk failure rate of any rule is above this is rejected.
+#: A host whose shrunk failure rate of any rule is above this is rejected: of its documents three in four or more fail, once its
+#: rate has been drawn towards the corpus, so that those which pass do so by chance rather than by quality. Hosts that merely have more
+#: failures than others stay; their documents are judged one by one.
 MAX_HOST_RATE = 0.75
 #: Bounds of the prior's strength (documents that the prior is worth).
 PRIOR_LEAST, PRIOR_MOST = 1.0, 10_000.0

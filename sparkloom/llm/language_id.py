@@ -18,15 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.shared import boxed, byte_view, small_batches, staged, steps, text_or_empty
 
 BUCKET_BITS = 13
-#: Training reads at most so many texts of each language, chosen by a hash of the text, and at most so many languages.
-SAMPLE_TEXTS, MOST_LANGUAGES = 1_500, 64
+#: Training reads at most so many texts, and bytes of text, of each language, chosen by a hash of the text.
+SAMPLE_TEXTS, SAMPLE_BYTES = 1_500, 8 << 20
 #: Neighbouring trigrams repeat each other's evidence; their likelihood counts by this power.
 TEMPER = 0.3
 #: Pseudo-documents of the level above in a host's prior; prior odds of a text in no language; least posterior to keep.
@@ -83,15 +83,20 @@ def train(texts: list[tuple[str, str]]) -> TextModel:
 
 
 def labelled_texts(docs: DataFrame, label: str = "lang") -> list[tuple[str, str]]:
-    """The bounded training sample: of each language, the texts with the least hashes."""
-    some = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("_l"), F.xxhash64("text").alias("_h"))
-    languages = [r["_l"] for r in some.groupBy("_l").count().orderBy(F.desc("count"), "_l").limit(MOST_LANGUAGES).collect()]
-    out: list[tuple[str, str]] = []
-    for lang in languages:
-        least = some.where(F.col("_l") == lang).select("_h").distinct().orderBy("_h").limit(SAMPLE_TEXTS)
-        found = docs.where(F.col(label) == lang).select("text", F.xxhash64("text").alias("_h")).join(F.broadcast(least), "_h").dropDuplicates(["_h"])
-        out += [(r["t"], lang) for r in found.select(F.col("text").alias("t")).collect()]
-    return sorted(out)
+    """The bounded training sample: of every language, the texts with the least hashes.
+
+    One pass counts the languages' distinct texts; another keeps twice the texts wanted by their hashes, copies
+    counting once, and ranks them. Every language that labels name is trained.
+    """
+    spread = 1 << 30
+    some = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("_l"), "text", F.xxhash64("text").alias("_h"))
+    counts = some.groupBy("_l").agg(F.approx_count_distinct("_h").alias("n"))
+    least = counts.select("_l", F.least(F.lit(spread), F.ceil(F.lit(2.0 * SAMPLE_TEXTS * spread) / F.greatest("n", F.lit(1)))).alias("_below"))
+    near = some.join(least, "_l").where(F.pmod("_h", F.lit(spread)) < F.col("_below"))
+    texts = near.groupBy("_l", "_h").agg(F.min("text").alias("t"))
+    order = Window.partitionBy("_l").orderBy(F.pmod("_h", F.lit(spread)), "_h")
+    kept = texts.withColumns({"_rank": F.row_number().over(order), "_read": F.sum(F.octet_length("t")).over(order)}).where(f"_rank <= {SAMPLE_TEXTS} and (_read <= {SAMPLE_BYTES} or _rank = 1)")
+    return sorted((r["t"], r["_l"]) for r in kept.select("t", "_l").collect())
 
 
 @dataclass
@@ -104,11 +109,11 @@ class Evidence:
 
 
 def _with_text(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list[str]) -> DataFrame:
-    """_row (a struct of the ``keep`` columns) with _ll (tempered log likelihoods), _top (the likeliest by text alone), _letters and the evidence."""
+    """_row (a struct of the ``keep`` columns, if any) with _ll (tempered log likelihoods), _top (the likeliest by text alone), _letters and the evidence."""
     small_batches(docs.sparkSession)
     hosts = [h.cast("string").alias(f"_h{k}") for k, h in enumerate(evidence.hosts)]
     none = F.lit(None).cast("string")
-    rows = docs.select(boxed(keep), text_or_empty().alias("_t"), *hosts, (evidence.declared if evidence.declared is not None else none).alias("_declared"), (evidence.suffix if evidence.suffix is not None else none).alias("_suffix"))
+    rows = docs.select(*([boxed(keep)] if keep else []), text_or_empty().alias("_t"), *hosts, (evidence.declared if evidence.declared is not None else none).alias("_declared"), (evidence.suffix if evidence.suffix is not None else none).alias("_suffix"))
     extra = [c for c in rows.columns if c != "_t"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,47 +130,55 @@ def _with_text(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list
     return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in extra), *made]))
 
 
-def _priors(rows: DataFrame, model: TextModel, levels: int) -> tuple[list[float], DataFrame | None]:
+def _counted(rows: DataFrame, levels: int) -> DataFrame:
+    """How many documents have each combination of hosts, declaration, suffix and likeliest language."""
+    keys = [*(f"_h{k}" for k in range(levels)), "_declared", "_suffix", "_top"]
+    return staged(rows.where("_top >= 0").groupBy(*keys).agg(F.count("*").alias("n")), "language-counts")
+
+
+def _priors(counts: DataFrame, model: TextModel, levels: int) -> tuple[list[float], DataFrame | None]:
     """The corpus prior, and for each host the prior smoothed down the hierarchy (host key columns _h0.., _prior)."""
     n = len(model.languages) + 1
-    named = rows.where("_top >= 0")
-    counts = [F.sum((F.col("_top") == j).cast("long")).alias(f"c{j}") for j in range(n)]
-    total = named.agg(*counts).first()
-    seen = np.array([total[f"c{j}"] or 0 for j in range(n)], dtype=float) + 1.0
+    seen = np.ones(n)
+    for r in counts.groupBy("_top").agg(F.sum("n").alias("n")).collect():
+        seen[r["_top"]] += r["n"]
     base = seen / seen.sum()
     base[-1] = UNKNOWN
     base = (base / base.sum()).tolist()
     if not levels:
         return base, None
     keys = [f"_h{k}" for k in range(levels)]
-    narrow = named.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(*counts).withColumn("_prior", F.array(*[F.lit(p) for p in base]))
+    sums = [F.coalesce(F.sum(F.when(F.col("_top") == j, F.col("n"))), F.lit(0)).alias(f"c{j}") for j in range(n)]
+    narrow = counts.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(*sums).withColumn("_prior", F.array(*[F.lit(p) for p in base]))
     for depth in range(1, levels + 1):
         own = keys[:depth]
         sums = narrow.groupBy(*own).agg(*[F.sum(f"c{j}").alias(f"s{j}") for j in range(n)], F.first("_prior").alias("_above"))
         all_n = " + ".join(f"s{j}" for j in range(n))
         prior = F.array(*[F.expr(f"(s{j} + {STRENGTH}D * _above[{j}]) / ({all_n} + {STRENGTH}D)") for j in range(n)])
         narrow = narrow.drop("_prior").join(sums.select(*own, prior.alias("_prior")), own)
-    return base, narrow.select(*keys, "_prior")
+    return base, staged(narrow.select(*keys, "_prior"), "language-priors")
 
 
-def _agreement(rows: DataFrame, model: TextModel, column: str) -> float:
+def _agreement(counts: DataFrame, model: TextModel, column: str) -> float:
     """How often a declaration agrees with what the text says, smoothed; 0.5 without any."""
     names = F.array(*[F.lit(x) for x in model.languages])
-    same = (F.get(names, F.col("_top")) == F.col(column)).cast("long")
-    got = rows.where((F.col("_top") >= 0) & F.col(column).isin(model.languages)).agg(F.count("*").alias("n"), F.sum(same).alias("k")).first()
-    return ((got["k"] or 0) + 1) / (got["n"] + 2)
+    same = F.when(F.get(names, F.col("_top")) == F.col(column), F.col("n"))
+    got = counts.where(F.col(column).isin(model.languages)).agg(F.sum("n").alias("n"), F.sum(same).alias("k")).first()
+    return ((got["k"] or 0) + 1) / ((got["n"] or 0) + 2)
 
 
 def identified(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list[str]) -> DataFrame:
     """_row (a struct of the ``keep`` columns), language (null: none), posterior and kept.
 
-    The texts' likelihoods are written once, with the columns to keep, before hosts are counted and joined.
+    One pass over the texts counts what they say by host and declaration; another scores each text with these priors. So only counts
+    are written, and no text is shuffled unless the table of hosts is too large to send around.
     """
-    facts = staged(_with_text(docs, model, evidence, keep), "language-facts")
+    facts = _with_text(docs, model, evidence, keep)
     if not model.languages:
         return facts.select("_row", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.col("_letters").alias("kept"))
     levels = len(evidence.hosts)
-    base, hosts = _priors(facts, model, levels)
+    counts = _counted(_with_text(docs, model, evidence, []), levels)
+    base, hosts = _priors(counts, model, levels)
     corpus = F.array(*[F.lit(p) for p in base])
     joined = facts if hosts is None else facts.join(hosts, [f"_h{k}" for k in range(levels)], "left")
     prior = corpus if hosts is None else F.coalesce("_prior", corpus)
@@ -173,7 +186,7 @@ def identified(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list
     n = len(model.languages)
     for column, given in (("_declared", evidence.declared), ("_suffix", evidence.suffix)):
         if given is not None:
-            right = min(max(_agreement(facts, model, column), 0.01), 0.99)
+            right = min(max(_agreement(counts, model, column), 0.01), 0.99)
             weights = F.array(*[F.when(F.col(column) == x, np.log(right)).otherwise(np.log((1 - right) / max(n - 1, 1))) for x in model.languages], F.lit(float(np.log(1 / n))))
             score = F.zip_with(score, F.when(F.col(column).isin(model.languages), weights).otherwise(F.array_repeat(F.lit(0.0), n + 1)), lambda a, b: a + b)
     out = joined.withColumn("_score", score).withColumn("_best", F.array_max("_score"))

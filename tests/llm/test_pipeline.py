@@ -76,3 +76,14 @@ def test_stages_against_brute_force(spark, tmp_path):
     for doc in {r["doc_id"] for r in packed}:
         own = sorted((r for r in packed if r["doc_id"] == doc), key=lambda r: r["start"])
         assert sum(r["length"] for r in own) == own[0]["doc_tokens"]
+
+
+def test_run_equals_its_stages(spark):
+    """run() gives the last stage's rows over what the others leave, and nothing of its own stays but that input."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, DATA).collect(), docs.schema)
+    want = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    got = corpus_pipeline.run(spark, DATA)
+    tokens = lambda df: {r["doc_id"]: r["doc_tokens"] for r in df.select("doc_id", "doc_tokens").distinct().collect()}
+    assert tokens(got) == tokens(want) and got.agg({"length": "sum"}).first()[0] == want.agg({"length": "sum"}).first()[0]

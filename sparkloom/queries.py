@@ -450,10 +450,11 @@ def log_codecs(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("base", fn.segment_base(F.col("segment")))
 
 
-@query("SELECT 3 AS n_keys, '2' AS b")
+@query("SELECT n_nationkey, 3 AS n_keys, n_name AS name, n_regionkey::VARCHAR AS region, '' AS none FROM nation")
 def state_codec(spark: SparkSession, d: str) -> DataFrame:
-    m = spark.range(1).select(fn.key_value_map(F.lit("a=1\nb=2\nc=3\n")).alias("m"))
-    return m.select(F.size("m").alias("n_keys"), F.col("m")["b"].alias("b"))
+    text = F.concat(F.lit("name="), "n_name", F.lit("\nregion="), "n_regionkey", F.lit("\nnone=\n"))
+    m = table(spark, d, "nation").select("n_nationkey", fn.key_value_map(text).alias("m"))
+    return m.select("n_nationkey", F.size("m").alias("n_keys"), F.col("m")["name"].alias("name"), F.col("m")["region"].alias("region"), F.col("m")["none"].alias("none"))
 
 
 # Contracts and graphs.

@@ -346,3 +346,11 @@ def test_streams_agree_with_batch(spark, tmp_path):
     key = lambda df: sorted((r["start"], sorted(map(tuple, r["rings"]))) for r in df.collect())
     assert key(spark.table("alerts")) == key(batch) and batch.count() > 0
     assert jobs.ring_messages(batch).count() == batch.agg(F.sum(F.size("rings"))).first()[0]
+
+
+def test_alerts_by_arrival(spark):
+    """Without event time all rows of a batch arrive at once: one window, no watermark."""
+    rows = spark.createDataFrame([("A", "B", 0), ("B", "C", 900_000), ("C", "A", 5_000_000), ("A", "A", 1)], "senderAccount string, receiverAccount string, timestamp long")
+    assert jobs.ring_alerts(rows).count() == 0
+    got = jobs.ring_alerts(rows, "1 day", event_time=False).collect()
+    assert [r["rings"] for r in got] == [[["A", "B", "C"]]]

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.llm.shared import SPACE_CLASS, boxed, byte_view, mixed, ragged, small_batches, staged, text_or_empty, unzipped, zipped
+from sparkloom.llm.shared import SPACE_CLASS, TEXT_ROWS, boxed, byte_view, few, mixed, ragged, small_batches, staged, text_or_empty, unzipped, zipped
 from sparkloom.llm.shingles import SHINGLE, shingle_sets
 
 #: n-grams are counted in this many bins, whatever the size of the corpus.
@@ -382,17 +382,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t")).select("doc_id", "_t", *_key())
-    facts = staged(_facts(own, size), "shingle-facts")
+    n_docs = docs.count()
+    facts = staged(_facts(own, size), "shingle-facts", n_docs + (1 << BIN_BITS))
     classes = _classes(facts)
     texts_of = facts.where("bin is null").drop("bin", "total")
     nodes = texts_of.where("n > 0").withColumn("pick", F.coalesce("least", F.lit(-1)))
     # A node with a partner shares SHARED tokens, or all that it must share. Two texts with one ka would get both texts' tokens, which only adds candidates.
     lists = _lists(own.select("_t", "ka"), classes, size, threshold).join(nodes, "ka").where(f"size(l) >= least({SHARED}, ({threshold} * n + 99) div 100)")
-    lists = staged(lists.select("node", "n", "ka", "kb", "pick", "l"), "prefixes")
+    lists = staged(lists.select("node", "n", "ka", "kb", "pick", "l"), "prefixes", n_docs)
+    many = lists.count()
     copies = zipped(own.select("_t", "ka", "kb", F.coalesce("doc_id", F.lit(-1)).alias("pick")).where("_t <> ''"))
-    texts = staged(copies.join(lists.select("node", "ka", "kb", "pick"), ["ka", "kb", "pick"]).dropDuplicates(["ka", "kb", "pick"]).select("node", "_z"), "texts")
+    texts = staged(copies.join(lists.select("node", "ka", "kb", "pick"), ["ka", "kb", "pick"]).dropDuplicates(["ka", "kb", "pick"]).select("node", "_z"), "texts", many, TEXT_ROWS)
 
-    many = lists.count()
     stars = staged(_stars(lists.select("node", "n", F.inline("l")), threshold), "stars", many)
     arms = _chunked(stars.where("a is not null"), "a").select(F.col("a").alias("ga"), F.col("chunk").alias("gb"), "node", F.lit(1).alias("side"))
     centres = arms.select("ga", "gb", F.col("ga").alias("node"), F.lit(0).alias("side")).distinct()
@@ -409,10 +410,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     last = components(found).select(F.col("node").alias("comp"), "component")
 
     held = placed.select("node", "comp").join(last, "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))
-    ids = staged(texts_of.join(held, "node", "left").select("ka", "kb", "n", "least", F.coalesce("component", "node").alias("component")), "components")
+    ids = staged(texts_of.join(held, "node", "left").select("ka", "kb", "n", "least", F.coalesce("component", "node").alias("component")), "components", n_docs)
     least = ids.where("n > 0").groupBy("component").agg(F.min("least").alias("least"))
     ids = ids.drop("least").join(least, "component", "left")
-    out = own.drop("_t").join(ids, ["ka", "kb"])
+    out = few(own.drop("_t").join(ids, ["ka", "kb"]), n_docs)
     some = F.col("n") > 0
     return out.select("doc_id", "ka", "kb", F.col("n").alias("n_shingles"), F.when(some, F.col("component")).alias("component"), F.when(some, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -90,9 +90,11 @@ def labelled_texts(docs: DataFrame, label: str = "lang") -> list[tuple[str, str]
     """
     spread = 1 << 30
     some = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("_l"), "text", F.xxhash64("text").alias("_h"))
-    counts = some.groupBy("_l").agg(F.approx_count_distinct("_h").alias("n"))
-    least = counts.select("_l", F.least(F.lit(spread), F.ceil(F.lit(2.0 * SAMPLE_TEXTS * spread) / F.greatest("n", F.lit(1)))).alias("_below"))
-    near = some.join(least, "_l").where(F.pmod("_h", F.lit(spread)) < F.col("_below"))
+    counts = some.groupBy("_l").agg(F.approx_count_distinct("_h").alias("n")).collect()  # the model has a column for each language anyway
+    if not counts:
+        return []
+    below = F.create_map(*[x for r in counts for x in (F.lit(r["_l"]), F.lit(min(spread, -(-2 * SAMPLE_TEXTS * spread // max(r["n"], 1)))))])
+    near = some.where(F.pmod("_h", F.lit(spread)) < F.try_element_at(below, F.col("_l")))
     texts = near.groupBy("_l", "_h").agg(F.min("text").alias("t"))
     order = Window.partitionBy("_l").orderBy(F.pmod("_h", F.lit(spread)), "_h")
     kept = texts.withColumns({"_rank": F.row_number().over(order), "_read": F.sum(F.octet_length("t")).over(order)}).where(f"_rank <= {SAMPLE_TEXTS} and (_read <= {SAMPLE_BYTES} or _rank = 1)")

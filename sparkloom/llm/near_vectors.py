@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.llm.shared import mixed, small_batches, staged
+from sparkloom.llm.shared import TEXT_ROWS, few, mixed, small_batches, staged
 
 THRESHOLD = 0.93
 TABLES, SCALE, PROBES, SEED = 8, 4.0, 8, 20240101
@@ -187,9 +187,9 @@ def compared(rows: dict[str, np.ndarray], key: int, low: int, high: int, thresho
     return counts.astype(np.int64), label
 
 
-def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(cid, n) weights of direct links to sum by class, and (a, b) edges of spanning forests, from usable rows."""
-    classes = staged(_classes(rows), "vector-classes")
+def links(rows: DataFrame, threshold: float, n_rows: int) -> DataFrame:
+    """(cid, n) weights of direct links to sum by class, and (a, b) edges of spanning forests, from about ``n_rows`` usable rows."""
+    classes = staged(_classes(rows), "vector-classes", n_rows, TEXT_ROWS)
     met = _met(classes).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,13 +228,15 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     small_batches(embeddings.sparkSession)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     good = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    found = staged(links(rows.where(good), threshold), "vector-links")
+    n_rows = rows.count()
+    found = staged(links(rows.where(good), threshold, n_rows), "vector-links", n_rows)
     sums = found.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("far"))
     own = rows.where(good).withColumn("cid", F.xxhash64("label", "embedding"))
     sizes = own.groupBy("cid").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))
-    tied = components(found.where("a is not null").select("a", "b").unionAll(own.join(sizes.where("copies > 1").select("cid", "rep"), "cid").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))))
+    tied = components(found.where("a is not null").select("a", "b").unionAll(own.join(sizes.where("copies > 1").select("cid", "rep"), "cid").select(F.col("vec_id").alias("a"), F.col("rep").alias("b"))), n_rows)
     facts = sizes.join(sums, "cid", "left").select("cid", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = rows.withColumn("cid", F.when(good, F.xxhash64("label", "embedding"))).select("vec_id", "cid").join(facts, "cid", "left").join(tied, F.col("vec_id") == F.col("node"), "left")
+    out = few(out, n_rows)
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import SPACE_CLASS, boxed, staged, text_or_empty
+from sparkloom.llm.shared import SPACE_CLASS, TEXT_ROWS, boxed, staged, text_or_empty
 
 #: A text with fewer words fails.
 MIN_WORDS = 50
@@ -108,7 +108,7 @@ def judged(docs: DataFrame, host: str = "source", keep: list[str] | None = None)
     columns to keep, before the hosts are summed and joined: no array is computed twice.
     """
     own = docs.select(boxed(keep or ["doc_id"]), F.col(host).alias("host"), "text")
-    rows = staged(measured(own).select("_row", "host", *MEASURES, "base_failed"), "quality-facts")
+    rows = staged(measured(own).select("_row", "host", *MEASURES, "base_failed"), "quality-facts", docs.count(), TEXT_ROWS)
     verdicts = host_rates(rows, "host").select(F.col("host").alias("_host"), "host_ok")
     out = rows.join(verdicts, F.col("host") == F.col("_host"), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("host_ok"), F.lit(True))).drop("_host", "host_ok")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.shared import boxed, byte_view, mixed, prefix_sums, small_batches, span_hash, staged, steps, text_or_empty, unzipped, zipped
+from sparkloom.llm.shared import TEXT_ROWS, boxed, byte_view, few, mixed, prefix_sums, small_batches, span_hash, staged, steps, text_or_empty, unzipped, zipped
 
 WIDTH = 200
 GRAM = 64
@@ -382,13 +382,13 @@ def _merged(classes: DataFrame, n_parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "ka long, p long")
 
 
-def repeated_runs(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(ka, p): the runs of repeated windows of all rows of ``docs`` (_t, ka, kb)."""
+def repeated_runs(docs: DataFrame, n_docs: int, width: int = WIDTH) -> DataFrame:
+    """(ka, p): the runs of repeated windows of all ``n_docs`` rows of ``docs`` (_t, ka, kb)."""
     runs = _runs(docs, width).repartition("kh").sortWithinPartitions("kh", "ch").mapInArrow(_shared_runs, "kh long, ch long, ka long, p long, twin boolean")
-    runs = staged(runs, "runs")
+    runs = staged(runs, "runs", n_docs, TEXT_ROWS)
     distinct = runs.groupBy("kh", "ch").agg(F.first("ka").alias("ka"), F.first("p").alias("p"), F.first("twin").alias("twin"))
     mixed = distinct.groupBy("kh").agg(F.count("*").alias("runs")).where("runs > 1")
-    reps = staged(distinct.join(mixed, "kh"), "contexts")
+    reps = staged(distinct.join(mixed, "kh"), "contexts", n_docs, TEXT_ROWS)
     starts = F.col("p").bitwiseAND(0xFF)
     total = reps.agg(F.sum(starts + width)).first()[0] or 0
     found = staged(_sharded(_contexts(docs, reps, width), max(1, -(-total // SHARD_BYTES)), width), "shards")
@@ -410,9 +410,10 @@ def _with_runs(docs: DataFrame, width: int) -> DataFrame:
     """``docs`` without text, with _z (the text, compressed), _null and the list _runs of each row's repeated runs."""
     others = [c for c in docs.columns if c != "text"]
     keyed = docs.withColumn("_t", text_or_empty()).select(*others, F.col("text").isNull().alias("_null"), "_t", *_key())
-    runs = repeated_runs(keyed.select("_t", "ka", "kb"), width)
+    n_docs = docs.count()
+    runs = repeated_runs(keyed.select("_t", "ka", "kb"), n_docs, width)
     lists = runs.groupBy("ka", F.shiftrightunsigned("p", 40).alias("kb")).agg(F.collect_list("p").alias("_runs"))
-    return zipped(keyed).join(lists, ["ka", "kb"], "left").drop("ka", "kb")
+    return few(zipped(keyed).join(lists, ["ka", "kb"], "left").drop("ka", "kb"), n_docs, TEXT_ROWS)
 
 
 def _kept(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -25,20 +25,24 @@ STEP_BYTES = 400_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: Rows of a file of a small table.
-FILE_ROWS = 250_000
+#: Rows of a partition and its file; of rows with whole texts; of keys and numbers.
+TEXT_ROWS, FILE_ROWS = 8_000, 50_000
 
 
-def staged(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in one partition for every ``each`` of them at most, so that small tables are not many tiny files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: the lineage ends there.
 
-    The folder's name is unique, and its shuffle files go with the write. Where a bound of its ``rows`` is known, the table
-    has a file for every FILE_ROWS of them, so that small tables are not many tiny files. The table stays
-    until :func:`remove` deletes it; :func:`staging` tells the paths.
+    The folder's name is unique, and its shuffle files go with the write. Where it is known about how many ``rows`` there are,
+    :func:`few` files are written. The table stays until :func:`remove` deletes it; :func:`staging` tells the paths.
     """
     spark = df.sparkSession
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        df = few(df, rows, each)
     path = scratch(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")

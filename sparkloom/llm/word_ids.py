@@ -14,8 +14,8 @@ import struct
 import regex
 import tiktoken
 
-#: Most words that a worker keeps; further words are computed each time.
-MOST_WORDS = 400_000
+#: Most words that a worker keeps, and bytes of a word that is kept; further words are computed each time.
+MOST_WORDS, KEPT_BYTES = 400_000, 64
 
 
 def _byte_chars() -> dict[int, str]:
@@ -63,7 +63,7 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         found = self._ids(word)
-        if len(self) < self.most:
+        if len(self) < self.most and len(word) <= KEPT_BYTES:
             self[word] = found
         return found
 

@@ -12,7 +12,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import jaccard_join, language_id, packing, quality_rules, repeat_spans
-from sparkloom.llm.shared import remove, scratch, staging
+from sparkloom.llm.shared import TEXT_ROWS, few, remove, scratch, staging
 
 #: Tables that the latest stage over each folder of inputs has staged.
 _held: dict[tuple[str, str], list[str]] = {}
@@ -26,7 +26,7 @@ def _tidy(stage):  # noqa: ANN001, ANN202
         for path in _held.pop((spark.sparkContext.applicationId, sf_dir), []):
             remove(spark, path)
         with staging() as own:
-            out = stage(spark, docs, sf_dir)
+            out = few(stage(spark, docs, sf_dir), docs.count(), TEXT_ROWS)
         _held[spark.sparkContext.applicationId, sf_dir] = own
         return out
 

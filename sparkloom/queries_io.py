@@ -193,7 +193,7 @@ def ring_messages(spark: SparkSession, d: str) -> DataFrame:
     return jobs.ring_messages(alerts.unionAll(noise)).select(F.col("windowStart").alias("start_ms"), F.col("windowEnd").alias("end_ms"), F.concat_ws(">", "ring").alias("ring"))
 
 
-@query(f"SELECT id, category, value FROM {SIM} WHERE category <> 'C'")
+@query(f"SELECT category, count(*) AS n, sum(id)::BIGINT AS ids, min(value) AS least, max(value) AS most FROM {SIM} WHERE category <> 'C' GROUP BY category")
 def stream_files(spark: SparkSession, d: str) -> DataFrame:
     """A stream into files, started twice: the second run finds nothing new."""
     with folder(spark, "stream") as path:
@@ -202,7 +202,8 @@ def stream_files(spark: SparkSession, d: str) -> DataFrame:
         for _ in range(2):
             stream = rel.filter_rows(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), "category", "<", "C")
             jobs.to_files(stream, f"{path}/out", f"{path}/checkpoint", once=True).awaitTermination()
-        return told(spark.read.schema(rows.schema).parquet(f"{path}/out"))
+        out = spark.read.schema(rows.schema).parquet(f"{path}/out")
+        return told(out.groupBy("category").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.min("value").alias("least"), F.max("value").alias("most")))
 
 
 # Contracts and graphs.

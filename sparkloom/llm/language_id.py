@@ -36,6 +36,7 @@ SYMBOLS = np.full(256, 32, np.uint32)
 SYMBOLS[97:123] = np.arange(97, 123)
 SYMBOLS[65:91] = np.arange(97, 123)
 SYMBOLS[128:] = np.arange(128, 256)
+IS_LETTER = SYMBOLS != 32
 
 
 def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +123,8 @@ def _with_text(docs: DataFrame, model: TextModel, evidence: Evidence, keep: list
         for batch in batches:
             data, offsets = byte_view(batch.column("_t"))
             ll = model.likelihoods(data, offsets) * TEMPER
-            seen = np.concatenate([[0], np.cumsum(SYMBOLS[data] != 32)])
-            letters = seen[offsets[1:]] > seen[offsets[:-1]]
+            letters = np.diff(offsets) > 0
+            letters[letters] = np.logical_or.reduceat(IS_LETTER[data], offsets[:-1][letters])
             top = np.where(ll[:, -1] < 0, ll.argmax(axis=1), -1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * ll.shape[1], pa.int32()), pa.array(ll.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in extra), lists, pa.array(top, pa.int32()), pa.array(letters, pa.bool_())], [*extra, "_ll", "_top", "_letters"])

@@ -80,10 +80,13 @@ def host_rates(facts: DataFrame, host: str = "source") -> DataFrame:
 
     The prior of a rule is the beta distribution with the pooled mean m and the document-weighted variance v of the
     hosts' rates: strength k = m (1 - m) / v - 1, kept within bounds. The shrunk rate is (f + m k) / (n + k).
+
+    The counts are written, so that their size is known: a small table of hosts is sent around, and no text is shuffled by its
+    host, which may have a third of all.
     """
     sums = [F.sum(F.expr(f"cast({rule} as bigint)")).alias(f"f_{name}") for name, rule in RULES.items()]
     hosts = facts.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n"), *sums)
-    return hosts.transform(shrunk)
+    return shrunk(staged(hosts, "host-counts"))
 
 
 def shrunk(hosts: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import small_batches, text_or_empty
 from sparkloom.llm.word_ids import word_ids

@@ -29,7 +29,6 @@ from math import inf
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import byte_view, ragged, small_batches, steps, text_or_empty
 

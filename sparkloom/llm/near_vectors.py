@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
-from sparkloom.llm.shared import TEXT_ROWS, few, mixed, small_batches, staged
+from sparkloom.llm.shared import few, mixed, small_batches, staged
 
 THRESHOLD = 0.93
 TABLES, SCALE, PROBES, SEED = 8, 4.0, 8, 20240101
@@ -189,7 +189,7 @@ def compared(rows: dict[str, np.ndarray], key: int, low: int, high: int, thresho
 
 def links(rows: DataFrame, threshold: float, n_rows: int) -> DataFrame:
     """(cid, n) weights of direct links to sum by class, and (a, b) edges of spanning forests, from about ``n_rows`` usable rows."""
-    classes = staged(_classes(rows), "vector-classes", n_rows, TEXT_ROWS)
+    classes = staged(_classes(rows), "vector-classes", n_rows, 2 * BLOCK)
     met = _met(classes).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     good = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     n_rows = rows.count()
-    found = staged(links(rows.where(good), threshold, n_rows), "vector-links", n_rows)
+    found = staged(links(rows.where(good), threshold, n_rows), "vector-links", n_rows, BLOCK)
     sums = found.where("cid is not null").groupBy("cid").agg(F.sum("n").alias("far"))
     own = rows.where(good).withColumn("cid", F.xxhash64("label", "embedding"))
     sizes = own.groupBy("cid").agg(F.count("*").alias("copies"), F.min("vec_id").alias("rep"))

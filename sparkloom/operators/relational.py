@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.text import ascii_bucket
+from sparkloom.sources.folders import scratch
 
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
@@ -136,6 +137,24 @@ def with_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     return running_total(df, order, F.lit(1), name)
 
 
+def with_places(df: DataFrame, name: str = "place") -> DataFrame:
+    """Adds the place (from 0) at which each row of a sorted table stands: partitions in order, and rows in order within each.
+
+    A sort that runs twice may cut its partitions elsewhere, by another sample or other sizes. So it runs once, into a table in
+    the shared folder (which stays); a row's partition and its number there, and the sizes of partitions, are all read from that.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "sorted")
+    marked = df.withColumn("_at", F.monotonically_increasing_id())
+    marked.write.parquet(path)
+    rows = spark.read.schema(marked.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before, sums = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("_part").agg(F.count("*")).collect())):
+        sums.append((part, before))
+        before += n
+    known = spark.createDataFrame(sums, "_part long, _before long")
+    return rows.join(F.broadcast(known), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_at", "_before")
+
+
 def union_all(*tables: DataFrame) -> DataFrame:
     """Rows of all tables, aligned by name; columns that a table lacks are null."""
     out = tables[0]

@@ -202,8 +202,7 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT id, value, row_number() OVER (ORDER BY value NULLS LAST, id) - 1 AS place FROM {SIM}")
 def sorted_values(spark: SparkSession, d: str) -> DataFrame:
     """The sorted rows with the places at which they stand: partitions in order, and rows in order within each."""
-    rows = rel.order_by(sim(spark, d), "value", tie=["id"]).select("id", "value").withColumn("_at", F.monotonically_increasing_id())
-    return rel.with_rank(rows, "_at", "place").drop("_at")
+    return rel.with_places(rel.order_by(sim(spark, d), "value", tie=["id"]).select("id", "value"))
 
 
 @query(f"SELECT block, count(*) AS n, min(id) AS low, max(id) AS high FROM (SELECT id, ntile(3) OVER (ORDER BY id)::INT AS block FROM {SIM}) GROUP BY block")

@@ -354,3 +354,17 @@ def test_alerts_by_arrival(spark):
     assert jobs.ring_alerts(rows).count() == 0
     got = jobs.ring_alerts(rows, "1 day", event_time=False).collect()
     assert [r["rings"] for r in got] == [[["A", "B", "C"]]]
+
+
+def test_sorted_values_of_a_table_that_sorts_by_a_sample(spark, tmp_path):
+    """More rows than the sort's sample has: each run of it may cut its partitions elsewhere."""
+    from sparkloom import queries as q
+
+    value = F.when(F.col("id") % 1000 > 0, F.pmod(F.xxhash64("id"), F.lit(5000)) / 100)
+    spark.range(300_000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), value.alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in q.sorted_values(spark, str(tmp_path)).select("place", "value", "id").collect()]
+    got.sort()
+    assert [r[0] for r in got] == list(range(300_000))
+    order = [(r[1] is None, r[1] or 0.0, r[2]) for r in got]
+    assert order == sorted(order)
+    assert rel.with_places(spark.range(0).orderBy("id")).count() == 0

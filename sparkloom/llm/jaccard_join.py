@@ -24,6 +24,7 @@ documents of their own; an empty table gives no rows. doc_ids are below 2**62.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -46,8 +47,11 @@ BATCH_GRAMS, WALKERS = 100_000, 32
 #: Segments of a trie are counted in pieces of at most so many n-grams.
 PIECE_GRAMS = 2_000_000
 THRESHOLD = 80
-#: Candidates share at least so many n-grams of prefixes that are longer by as many less one (or all, where fewer are needed).
-SHARED = 4
+#: Candidates share at least so many n-grams, and one more for every STEP of the smaller set, of prefixes that are longer by as
+#: many less one (or all, where fewer are needed). Long texts share a few n-grams by chance, with ever more others as a corpus grows.
+SHARED, STEP = 4, 32
+#: Pairs of cells are joined in rounds that send at most so many times the n-grams of all sets that have candidates.
+ROUND = 2
 #: Texts that a task remembers, so that a copy's n-grams are not sent again.
 KNOWN_TEXTS = 100_000
 NO_ID = 1 << 62
@@ -115,7 +119,7 @@ def _lists(docs: DataFrame, classes: np.ndarray, size: int, threshold: int) -> D
                 doc = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((sets, classes[_bins(sets)], doc))
                 at = np.arange(len(sets)) - bounds[:-1][doc]
-                keep = (at < n[doc] + (-threshold * n[doc]) // 100 + SHARED) & fresh[doc + low]
+                keep = (at < (n + (-threshold * n) // 100 + SHARED + n // STEP)[doc]) & fresh[doc + low]
                 token, who = sets[order][keep], ka[doc[keep] + low]
                 by = np.argsort(token, kind="stable")
                 same = token[by][1:] == token[by][:-1]
@@ -160,14 +164,19 @@ def need_sql(a: str, b: str, threshold: int) -> str:
     return f"(({threshold} * ({a} + {b}) + {99 + threshold}) div {100 + threshold})"
 
 
+def shared_sql(n: str) -> str:
+    """SQL: how many n-grams of prefixes candidates share if the smaller set has this size."""
+    return f"({SHARED} + {n} div {STEP})"
+
+
 def needed(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
     return (threshold * (a + b) + 99 + threshold) // (100 + threshold)
 
 
 def can_link(a: str, b: str, threshold: int) -> str:
-    """SQL: the token at these places may be among the first SHARED that two linked sets share."""
-    need = need_sql(f"{a}.n", f"{b}.n", threshold)
-    return f"({a}.at + {need} < {a}.n + {SHARED} and {b}.at + {need} < {b}.n + {SHARED})"
+    """SQL: the token at these places may be among the first that two linked sets share, as many as candidates must."""
+    need, first = need_sql(f"{a}.n", f"{b}.n", threshold), shared_sql(f"least({a}.n, {b}.n)")
+    return f"({a}.at + {need} < {a}.n + {first} and {b}.at + {need} < {b}.n + {first})"
 
 
 class Forest:
@@ -348,7 +357,7 @@ def _stars(entries: DataFrame, threshold: int) -> DataFrame:
     may = f"(c.node <> e.node and {can_link('c', 'e', threshold)})"
     met = met.where(f"{may} or often >= {COMMON}").select(F.col("c.node").alias("a"), "e.node", F.col("c.n").alias("na"), "e.n", F.expr(may).alias("may"), "often")
     each = met.groupBy("a", "node").agg(F.count_if("may").alias("k"), F.max("often").alias("often"), F.first("na").alias("na"), F.first("n").alias("n"))
-    enough = F.expr(f"k >= least({SHARED}, {need_sql('na', 'n', threshold)})")
+    enough = F.expr(f"k >= least({shared_sql('least(na, n)')}, {need_sql('na', 'n', threshold)})")
     best = F.max_by(F.when(enough, F.col("a")), F.when(enough, F.struct("k", F.expr("-a"))))
     home = F.max_by("a", F.when(F.col("often") >= COMMON, F.struct("often", "a")))
     return each.groupBy("node").agg(F.first("n").alias("n"), best.alias("a"), home.alias("home")).where("a is not null or home is not null")
@@ -360,18 +369,34 @@ def _cell_pairs(entries: DataFrame, threshold: int) -> DataFrame:
     In a cell's row for a token, ``least`` is the size of its smallest set, and ``most`` bounds the sizes of the sets that any
     of its sets may link with on account of this token.
     """
-    reach = f"({100 + threshold} * (n + {SHARED - 1} - at)) div {threshold} - n"
+    reach = f"({100 + threshold} * (n + {shared_sql('n')} - 1 - at)) div {threshold} - n"
     each = entries.groupBy("token", "cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max(F.expr(reach)).alias("most"))
     mixed_tokens = each.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("k")).where("low < high").select("token", F.ceil(F.col("k") / LIST).alias("chunks"))
     dealt = each.join(mixed_tokens, "token").withColumn("chunk", F.pmod(F.col("cell"), F.col("chunks")))
     lists = dealt.groupBy("token", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("cell", "low", "high", "least", "most")).alias("l"))
     may = "(x.low <> y.low or x.high <> y.high or x.low <> x.high) and x.least <= y.most and y.least <= x.most"
-    pair = f"struct(least(x.cell, y.cell) as ga, greatest(x.cell, y.cell) as gb, {need_sql('x.least', 'y.least', threshold)} as need)"
+    want = f"least({shared_sql('least(x.least, y.least)')}, {need_sql('x.least', 'y.least', threshold)})"
+    pair = f"struct(least(x.cell, y.cell) as ga, greatest(x.cell, y.cell) as gb, {want} as want)"
     within = lists.select(F.explode(F.expr(f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 1, size(l)), y -> {may}), y -> {pair})))")).alias("h"))
     long = lists.where("chunks > 1")
     one, two = (long.select("token", F.col("chunk").alias(f"c{s}"), F.col("l").alias(f"l{s}")) for s in "ab")
     between = one.join(two, "token").where("ca < cb").select(F.explode(F.expr(f"flatten(transform(la, x -> transform(filter(lb, y -> {may}), y -> {pair})))")).alias("h"))
-    return within.unionAll(between).groupBy("h.ga", "h.gb").agg(F.count("*").alias("k"), F.min("h.need").alias("need")).where(f"k >= least({SHARED}, need)").select("ga", "gb")
+    return within.unionAll(between).groupBy("h.ga", "h.gb").agg(F.count("*").alias("k"), F.min("h.want").alias("want")).where("k >= want").select("ga", "gb")
+
+
+def _joined_in_rounds(pairs: DataFrame, placed: DataFrame, texts: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
+    """(a, b): links between components within ``pairs`` of cells. The rounds bound what lies on disk at once, however many pairs there are."""
+    both = "if(ga = gb, array(struct(ga as cell, 2 as side)), array(struct(ga as cell, 0 as side), struct(gb as cell, 1 as side)))"
+    uses = pairs.select("ga", "gb", F.inline(F.expr(both)))
+    grams = placed.groupBy("cell").agg(F.sum("n").alias("n"))
+    sent, own = uses.join(grams, "cell").agg(F.sum("n")).first()[0] or 0, placed.agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, -(-sent // max(1, int(ROUND * own))))
+    found = []
+    for k in range(rounds):
+        some = uses.where(F.pmod(F.xxhash64("ga", "gb"), F.lit(rounds)) == k) if rounds > 1 else uses
+        links = _joined(some.join(placed, "cell").select("ga", "gb", "side", "node", "comp"), texts, classes, size, threshold)
+        found.append(staged(links, "found", -(-sent // (rounds * BATCH_GRAMS))) if rounds > 1 else links)
+    return reduce(DataFrame.unionAll, found)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -387,8 +412,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     classes = _classes(facts)
     texts_of = facts.where("bin is null").drop("bin", "total")
     nodes = texts_of.where("n > 0").withColumn("pick", F.coalesce("least", F.lit(-1)))
-    # A node with a partner shares SHARED tokens, or all that it must share. Two texts with one ka would get both texts' tokens, which only adds candidates.
-    lists = _lists(own.select("_t", "ka"), classes, size, threshold).join(nodes, "ka").where(f"size(l) >= least({SHARED}, ({threshold} * n + 99) div 100)")
+    # A node with a partner shares as many tokens as the least partner's size asks for, or all that it must share. Two texts with one ka would get both texts' tokens, which only adds candidates.
+    small = f"(({threshold} * n + 99) div 100)"
+    lists = _lists(own.select("_t", "ka"), classes, size, threshold).join(nodes, "ka").where(f"size(l) >= least({shared_sql(small)}, {small})")
     lists = staged(lists.select("node", "n", "ka", "kb", "pick", "l"), "prefixes", n_docs)
     many = lists.count()
     copies = zipped(own.select("_t", "ka", "kb", F.coalesce("doc_id", F.lit(-1)).alias("pick")).where("_t <> ''"))
@@ -404,10 +430,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     placed = _chunked(placed.select("node", "n", F.coalesce("component", "node").alias("comp"), base.alias("base")), "base")
     placed = staged(placed.select("node", "n", "comp", F.xxhash64("base", "chunk").alias("cell")), "cells", many)
     entries = lists.select("node", "l").join(placed, "node").select("n", "comp", "cell", F.inline("l"))
-    both = "if(ga = gb, array(struct(ga as cell, 2 as side)), array(struct(ga as cell, 0 as side), struct(gb as cell, 1 as side)))"
-    uses = _cell_pairs(entries, threshold).select("ga", "gb", F.inline(F.expr(both)))
-    found = _joined(uses.join(placed, "cell").select("ga", "gb", "side", "node", "comp"), texts, classes, size, threshold)
-    last = components(found).select(F.col("node").alias("comp"), "component")
+    pairs = staged(_cell_pairs(entries, threshold), "pairs", many)
+    last = components(_joined_in_rounds(pairs, placed, texts, classes, size, threshold), many).select(F.col("node").alias("comp"), "component")
 
     held = placed.select("node", "comp").join(last, "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))
     ids = staged(texts_of.join(held, "node", "left").select("ka", "kb", "n", "least", F.coalesce("component", "node").alias("component")), "components", n_docs)

@@ -664,3 +664,23 @@ def test_failing_host_takes_its_documents_along(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r for r in quality_rules.op5_quality_rules(df).collect()}
     assert got[1]["kept"] and not got[100]["base_failed"] and not got[100]["kept"]
+
+
+def test_texts_that_share_a_passage_are_no_candidates(spark):
+    """Long texts share some n-grams by chance; what is sent on must not grow with the pairs that do."""
+    from sparkloom.llm.shared import staging
+
+    rows = [(d, " ".join([f"w{d}x{k}" for k in range(2400)] + [f"p{d // 2}x{k}" for k in range(60)])) for d in range(12)]
+    with staging() as paths:
+        got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got)) == [(d, d) for d in range(12)]
+    assert spark.read.parquet(next(p for p in paths if "/prefixes-" in p)).count() == 0
+
+
+@pytest.mark.parametrize("share", [2, 0.05])
+def test_join_in_rounds(spark, monkeypatch, share):
+    """Chains in which only neighbours are alike, over any number of rounds."""
+    monkeypatch.setattr(jaccard_join, "ROUND", share)
+    rows = [(100 * c + d, " ".join(f"c{c}w{k}" for k in range(d * 20, d * 20 + 300))) for c in range(3) for d in range(14)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.op10_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 100 for d, _ in rows}

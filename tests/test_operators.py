@@ -368,3 +368,21 @@ def test_sorted_values_of_a_table_that_sorts_by_a_sample(spark, tmp_path):
     order = [(r[1] is None, r[1] or 0.0, r[2]) for r in got]
     assert order == sorted(order)
     assert rel.with_places(spark.range(0).orderBy("id")).count() == 0
+
+
+def test_rings_over_runs_without_branches():
+    """Each run is one step of the search, however long; rings are whole, with their least node first."""
+    import random
+
+    for seed in range(60):
+        r = random.Random(seed)
+        pairs = [(r.randrange(7), r.randrange(7)) for _ in range(12)]
+        names = r.sample(range(100, 1000), 60)
+        runs = [[a, *[names.pop() for _ in range(r.randrange(5))], b] for a, b in pairs if a != b]
+        r.shuffle(relabel := list(range(1000)))
+        links = [(relabel[x], relabel[y]) for run in runs for x, y in zip(run, run[1:])]
+        assert sorted(rings.long_rings(links)) == sorted(every_ring(links))
+    circle = [(k, (k + 1) % 500) for k in range(500)]
+    short, chains = rings.contracted([*circle, (250, 0)])
+    assert len(short) < 6 and sorted(map(len, chains.values())) == [249, 249]
+    assert sorted(map(len, rings.long_rings([*circle, (250, 0)]))) == [251, 500]

@@ -23,6 +23,7 @@ documents of their own; an empty table gives no rows. doc_ids are below 2**62.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from itertools import pairwise
@@ -36,8 +37,10 @@ from sparkloom.llm.components import components
 from sparkloom.llm.shared import SPACE_CLASS, TEXT_ROWS, boxed, byte_view, few, mixed, ragged, small_batches, staged, text_or_empty, unzipped, zipped
 from sparkloom.llm.shingles import SHINGLE, shingle_sets
 
-#: n-grams are counted in this many bins, whatever the size of the corpus.
-BIN_BITS = 17
+#: n-grams are counted in this many bins, whatever the size of the corpus; tasks hand their counts on in so many slices.
+BIN_BITS, SLICES = 22, 64
+#: n-grams that a task holds before it counts them.
+COUNTED = 1 << 20
 #: Bounds of a cell: sets, and n-grams of all of its sets (a longer set is a cell of its own, more or less).
 CHUNK, CHUNK_GRAMS = 64, 100_000
 #: Most cells of one n-gram in a list; sets in whose prefixes an n-gram is common, and that belong to no component, share cells.
@@ -52,6 +55,8 @@ THRESHOLD = 80
 SHARED, STEP = 4, 32
 #: Pairs of cells are joined in rounds that send at most so many times the n-grams of all sets that have candidates.
 ROUND = 2
+#: Pairs of cells are found in rounds of about so many meetings for each n-gram of these sets, or of so many meetings.
+MEETINGS, FEW_MEETINGS = 0.25, 10_000_000
 #: Texts that a task remembers, so that a copy's n-grams are not sent again.
 KNOWN_TEXTS = 100_000
 NO_ID = 1 << 62
@@ -66,36 +71,63 @@ def _bins(hashes: np.ndarray) -> np.ndarray:
 
 
 def _facts(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of two kinds from one pass: (ka, kb, n, least doc_id) of each text, and (bin, total) of all n-grams."""
+    """Rows of two kinds from one pass: (ka, kb, n, least doc_id) of each text, and (slice, total, each task's packed counts) of the bins of all n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(1 << BIN_BITS, np.int64)
+        totals, held, n_held = np.zeros(1 << BIN_BITS, np.uint32), [np.zeros(0, np.int64)], 0
         for batch in batches:
             counts = []
             for _, _, sets, bounds in shingle_sets(*byte_view(batch.column("_t")), size):
-                totals += np.bincount(_bins(sets), minlength=1 << BIN_BITS)
+                held.append(_bins(sets))
+                n_held += len(sets)
+                if n_held > COUNTED:
+                    totals += np.bincount(np.concatenate(held), minlength=1 << BIN_BITS).astype(np.uint32)
+                    held, n_held = [], 0
                 counts.append(np.diff(bounds))
             n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            none = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ka", "kb")), none, batch.column("doc_id"), pa.array(n, pa.int64())], names)
-        at = np.flatnonzero(totals)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, pa.array(at, pa.int64()), none, pa.array(totals[at], pa.int64())], names)
+            none = [pa.nulls(len(batch), kind) for kind in (pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("ka", "kb")), none[0], batch.column("doc_id"), pa.array(n, pa.int64()), none[1]], names)
+        if held:
+            totals += np.bincount(np.concatenate(held), minlength=1 << BIN_BITS).astype(np.uint32)
+        slices = totals.reshape(SLICES, -1)
+        none = pa.nulls(SLICES, pa.int64())
+        packed = pa.array([_packed(x) for x in slices], pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(np.arange(SLICES)), none, pa.array(slices.sum(axis=1, dtype=np.int64)), packed], names)
+
+    names = ["ka", "kb", "slice", "doc_id", "n", "counts"]
+    each = docs.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'counts' else 'long'}" for c in names)).groupBy("ka", "kb", "slice")
+    sums = each.agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.sum("n").alias("total"), F.collect_list("counts").alias("counts"))
+    return sums.select(F.monotonically_increasing_id().alias("node"), "ka", "kb", "n", "least", "slice", "total", "counts")
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts by their bytes' places, the lowest ones first: most are small."""
+    return zlib.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T), 1)
 
-    names = ["ka", "kb", "bin", "doc_id", "n"]
-    each = docs.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("ka", "kb", "bin")
-    sums = each.agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.sum("n").alias("total"))
-    return sums.select(F.monotonically_increasing_id().alias("node"), "ka", "kb", "n", "least", "bin", "total")
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _classes(facts: DataFrame) -> np.ndarray:
     """The class of each bin: 0 unless its count stands out from chance, then higher with the excess."""
-    totals = np.zeros(1 << BIN_BITS)
-    for r in facts.where("bin is not null").select("bin", "total").collect():
-        totals[r["bin"]] = r["total"]
-    mean = totals.mean()
-    excess = np.maximum(0, totals - mean - 6 * np.sqrt(mean) - 1)
-    return np.where(excess > 0, np.floor(np.log2(np.maximum(excess, 1))) + 1, 0).astype(np.int8)
+    slices = facts.where("slice is not null")
+    mean = (slices.agg(F.sum("total")).first()[0] or 0) / (1 << BIN_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, row in enumerate(batch.column("counts")):
+                totals = np.zeros((1 << BIN_BITS) // SLICES)
+                for packed in row:
+                    totals += _unpacked(packed.as_py())
+                excess = np.maximum(0, totals - mean - 6 * np.sqrt(mean) - 1)
+                classes = np.where(excess > 0, np.floor(np.log2(np.maximum(excess, 1))) + 1, 0).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([batch.column("slice").slice(k, 1), pa.array([zlib.compress(classes, 1)], pa.binary())], ["slice", "classes"])
+
+    out = np.zeros((SLICES, (1 << BIN_BITS) // SLICES), np.int8)
+    for r in slices.select("slice", "counts").mapInArrow(run, "slice long, classes binary").collect():
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["classes"]), np.int8)
+    return out.ravel()
 
 
 def _lists(docs: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
@@ -363,27 +395,46 @@ def _stars(entries: DataFrame, threshold: int) -> DataFrame:
     return each.groupBy("node").agg(F.first("n").alias("n"), best.alias("a"), home.alias("home")).where("a is not null or home is not null")
 
 
-def _cell_pairs(entries: DataFrame, threshold: int) -> DataFrame:
-    """(ga, gb): cells with sets of different components that may link, a cell with itself too. ``entries``: token, cell, comp, n, at.
+def _meetings(entries: DataFrame, threshold: int) -> DataFrame:
+    """(token, chunk, chunks, k, l): the cells that have a token, in lists of bounded length; k of them in all. ``entries``: token, cell, comp, n, at.
 
     In a cell's row for a token, ``least`` is the size of its smallest set, and ``most`` bounds the sizes of the sets that any
-    of its sets may link with on account of this token.
+    of its sets may link with on account of this token. Tokens of one component are left out.
     """
     reach = f"({100 + threshold} * (n + {shared_sql('n')} - 1 - at)) div {threshold} - n"
     each = entries.groupBy("token", "cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max(F.expr(reach)).alias("most"))
-    mixed_tokens = each.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("k")).where("low < high").select("token", F.ceil(F.col("k") / LIST).alias("chunks"))
+    mixed_tokens = each.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("k")).where("low < high").select("token", "k", F.ceil(F.col("k") / LIST).alias("chunks"))
     dealt = each.join(mixed_tokens, "token").withColumn("chunk", F.pmod(F.col("cell"), F.col("chunks")))
-    lists = dealt.groupBy("token", "chunk").agg(F.first("chunks").alias("chunks"), F.collect_list(F.struct("cell", "low", "high", "least", "most")).alias("l"))
+    lists = dealt.groupBy("token", "chunk").agg(F.first("chunks").alias("chunks"), F.first("k").alias("k"), F.sort_array(F.collect_list(F.struct("cell", "low", "high", "least", "most"))).alias("l"))
+    return lists
+
+
+def _cell_pairs(lists: DataFrame, threshold: int, rounds: int = 1, k: int = 0) -> DataFrame:
+    """(ga, gb): cells with sets of different components that may link, a cell with itself too; in round ``k`` those whose lesser cell falls to it."""
     may = "(x.low <> y.low or x.high <> y.high or x.low <> x.high) and x.least <= y.most and y.least <= x.most"
     want = f"least({shared_sql('least(x.least, y.least)')}, {need_sql('x.least', 'y.least', threshold)})"
-    pair = f"struct(least(x.cell, y.cell) as ga, greatest(x.cell, y.cell) as gb, {want} as want)"
-    within = lists.select(F.explode(F.expr(f"flatten(transform(l, (x, i) -> transform(filter(slice(l, i + 1, size(l)), y -> {may}), y -> {pair})))")).alias("h"))
+    pair = f"struct(x.cell as ga, y.cell as gb, {want} as want)"
+    turn = f"pmod(xxhash64(x.cell), {rounds}) = {k}" if rounds > 1 else "true"
+
+    def met(some: str, others: str) -> Column:
+        return F.explode(F.expr(f"flatten(transform({some}, (x, i) -> if({turn}, transform(filter({others}, y -> {may}), y -> {pair}), array())))")).alias("h")
+
+    within = lists.select(met("l", "slice(l, i + 1, size(l))"))
     long = lists.where("chunks > 1")
     one, two = (long.select("token", F.col("chunk").alias(f"c{s}"), F.col("l").alias(f"l{s}")) for s in "ab")
-    between = one.join(two, "token").where("ca < cb").select(F.explode(F.expr(f"flatten(transform(la, x -> transform(filter(lb, y -> {may}), y -> {pair})))")).alias("h"))
+    between = one.join(two, "token").where("ca <> cb").select(met("la", "filter(lb, y -> y.cell > x.cell)"))
     return within.unionAll(between).groupBy("h.ga", "h.gb").agg(F.count("*").alias("k"), F.min("h.want").alias("want")).where("k >= want").select("ga", "gb")
 
 
+def _pairs_in_rounds(entries: DataFrame, placed: DataFrame, n_sets: int, threshold: int) -> DataFrame:
+    """All pairs of cells, staged. A token's cells all meet, so meetings may grow faster than the input; the rounds bound how many lie on disk at once."""
+    lists = staged(_meetings(entries, threshold), "meetings", n_sets)
+    met = lists.agg(F.sum(F.expr("size(l) * (k + 1) / 2"))).first()[0] or 0
+    own = placed.agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, -(-int(met) // max(1, int(MEETINGS * own), FEW_MEETINGS)))
+    return reduce(DataFrame.unionAll, [staged(_cell_pairs(lists, threshold, rounds, k), "pairs", n_sets) for k in range(rounds)])
+
+
 def _joined_in_rounds(pairs: DataFrame, placed: DataFrame, texts: DataFrame, classes: np.ndarray, size: int, threshold: int) -> DataFrame:
     """(a, b): links between components within ``pairs`` of cells. The rounds bound what lies on disk at once, however many pairs there are."""
     both = "if(ga = gb, array(struct(ga as cell, 2 as side)), array(struct(ga as cell, 0 as side), struct(gb as cell, 1 as side)))"
@@ -408,9 +459,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_t")).select("doc_id", "_t", *_key())
     n_docs = docs.count()
-    facts = staged(_facts(own, size), "shingle-facts", n_docs + (1 << BIN_BITS))
+    facts = staged(_facts(own, size), "shingle-facts", n_docs + (1 << 17))
     classes = _classes(facts)
-    texts_of = facts.where("bin is null").drop("bin", "total")
+    texts_of = facts.where("slice is null").drop("slice", "total", "counts")
     nodes = texts_of.where("n > 0").withColumn("pick", F.coalesce("least", F.lit(-1)))
     # A node with a partner shares as many tokens as the least partner's size asks for, or all that it must share. Two texts with one ka would get both texts' tokens, which only adds candidates.
     small = f"(({threshold} * n + 99) div 100)"
@@ -430,7 +481,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     placed = _chunked(placed.select("node", "n", F.coalesce("component", "node").alias("comp"), base.alias("base")), "base")
     placed = staged(placed.select("node", "n", "comp", F.xxhash64("base", "chunk").alias("cell")), "cells", many)
     entries = lists.select("node", "l").join(placed, "node").select("n", "comp", "cell", F.inline("l"))
-    pairs = staged(_cell_pairs(entries, threshold), "pairs", many)
+    pairs = _pairs_in_rounds(entries, placed, many, threshold)
     last = components(_joined_in_rounds(pairs, placed, texts, classes, size, threshold), many).select(F.col("node").alias("comp"), "component")
 
     held = placed.select("node", "comp").join(last, "comp", "left").select("node", F.coalesce("component", "comp").alias("component"))

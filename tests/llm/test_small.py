@@ -684,3 +684,39 @@ def test_join_in_rounds(spark, monkeypatch, share):
     rows = [(100 * c + d, " ".join(f"c{c}w{k}" for k in range(d * 20, d * 20 + 300))) for c in range(3) for d in range(14)]
     got = {r["doc_id"]: r["component_id"] for r in jaccard_join.op10_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d - d % 100 for d, _ in rows}
+
+
+def test_few_meetings_at_once(spark, monkeypatch):
+    """Pairs of cells are found in rounds of bounded size, with lists of several chunks: one round's pairs and all of them are the same."""
+    rows = [(token, cell, 2 * cell, 60, at) for token in range(5) for at, cell in enumerate(range(token, 40, 1 + token))]
+    entries = spark.createDataFrame([r for t in range(8) for r in [(8 * x[0] + t, *x[1:]) for x in rows]], "token long, cell long, comp long, n long, at long").withColumn("at", F.lit(0))
+    placed = spark.createDataFrame([(60,)] * 40, "n long")
+    whole = sorted(tuple(x) for x in jaccard_join._pairs_in_rounds(entries, placed, 40, 80).collect())
+    sizes, find = [], jaccard_join._cell_pairs
+
+    def seen(*args):
+        sizes.append(find(*args).count())
+        return find(*args)
+
+    monkeypatch.setattr(jaccard_join, "_cell_pairs", seen)
+    monkeypatch.setattr(jaccard_join, "FEW_MEETINGS", 2000)
+    monkeypatch.setattr(jaccard_join, "MEETINGS", 0)
+    for cells in (256, 7):
+        sizes.clear()
+        monkeypatch.setattr(jaccard_join, "LIST", cells)
+        assert sorted(tuple(x) for x in jaccard_join._pairs_in_rounds(entries, placed, 40, 80).collect()) == whole
+        assert len(whole) == 40 * 39 // 2
+        assert len(sizes) > 5
+        assert max(sizes) < len(whole) / 2
+
+
+def test_common_n_grams_stand_out_from_many(spark):
+    """An n-gram of 150 texts among a million others is common; in 2**17 bins it was not told from chance in a larger corpus."""
+    r = random.Random(5)
+    texts = [("one common passage here " if k % 4 == 0 else "") + " ".join(f"w{r.randrange(10**9)}" for _ in range(1700)) for k in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, _t string").select("doc_id", "_t", *jaccard_join._key())
+    classes = jaccard_join._classes(jaccard_join._facts(docs, 4).cache())
+    common = [sets for _, _, sets, _ in shingle_sets(*byte_view(pa.array(["one common passage here"])), 4)][0]
+    assert len(classes) == 1 << jaccard_join.BIN_BITS
+    assert classes[jaccard_join._bins(common)] >= 7
+    assert (classes > 0).mean() < 0.0001

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -386,3 +387,25 @@ def test_rings_over_runs_without_branches():
     short, chains = rings.contracted([*circle, (250, 0)])
     assert len(short) < 6 and sorted(map(len, chains.values())) == [249, 249]
     assert sorted(map(len, rings.long_rings([*circle, (250, 0)]))) == [251, 500]
+
+
+@pytest.mark.parametrize("most", [1, 2, 1000])
+def test_ring_edges_where_rings_are_found(spark, monkeypatch, most):
+    """Edges as drawn come out of the search itself, in batches of any size: the same as those of its rings."""
+    monkeypatch.setattr(rings, "NODES_PER_BATCH", most * 30)
+    r = random.Random(most)
+    links = []
+    for w in range(6):
+        # Runs of accounts between a few hubs; their least account stands anywhere in them.
+        names = r.sample(range(10, 99), 40)
+        for k in range(0, 36, 4):
+            links += [(w, a, b) for a, b in zip(names[k : k + 4], names[k + 1 : k + 5], strict=True)]
+        links += [(w, names[r.randrange(40)], names[4 * r.randrange(9)]) for _ in range(6)]
+    for kind, given in (("bigint", links), ("string", [(w, f"a{a}", f"a{b}") for w, a, b in links])):
+        graph = rings.edges(spark.createDataFrame(given, f"h int, s {kind}, t {kind}"), "h", "s", "t")
+        want = [(w, k + 1, *ring[k : k + 2]) for w in range(6) for ring in every_ring([x[1:] for x in given if x[0] == w]) for k in range(len(ring) - 1)]
+        assert len(want) > 50
+        got = rings.find_ring_edges(graph)
+        assert got.dtypes == [("w", "int"), ("step", "int"), ("src", kind), ("dst", kind)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert sorted(map(tuple, rings.ring_edges(rings.find_rings(graph)).select("w", "step", "src", "dst").collect())) == sorted(want)

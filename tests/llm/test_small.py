@@ -699,7 +699,7 @@ def test_few_meetings_at_once(spark, monkeypatch):
         return find(*args)
 
     monkeypatch.setattr(jaccard_join, "_cell_pairs", seen)
-    monkeypatch.setattr(jaccard_join, "FEW_MEETINGS", 2000)
+    monkeypatch.setattr(jaccard_join, "FEW_MEETINGS", 1000)
     monkeypatch.setattr(jaccard_join, "MEETINGS", 0)
     for cells in (256, 7):
         sizes.clear()

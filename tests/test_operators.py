@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import relational as rel
-from sparkloom.operators import rings
+from sparkloom.operators import ring_sums, rings
 from sparkloom.plans import contracts
 from sparkloom.plans.dag import Dag, Node
 from sparkloom.sources.folders import Files, Versions
@@ -409,3 +409,30 @@ def test_ring_edges_where_rings_are_found(spark, monkeypatch, most):
         assert got.dtypes == [("w", "int"), ("step", "int"), ("src", kind), ("dst", kind)]
         assert sorted(map(tuple, got.collect())) == sorted(want)
         assert sorted(map(tuple, rings.ring_edges(rings.find_rings(graph)).select("w", "step", "src", "dst").collect())) == sorted(want)
+
+
+def layers(n):
+    """Two accounts a layer, each linked to both of the next: 2**n rings go round once, and 2**(n - 1) twice."""
+    return [(2 * k + a, (2 * k + 2) % (2 * n) + b) for k in range(n) for a in (0, 1) for b in (0, 1)]
+
+
+def test_rings_are_counted_without_a_search(spark):
+    """A search over these rings would not end."""
+    links = [(w, a, b) for w, n in enumerate((3, 40)) for a, b in layers(n)] + [(2, 1, 2), (2, 2, 3), (3, 1, 1), (3, None, 1), (3, 1, None), (None, 1, 2), (None, 2, 1)]
+    graph = rings.edges(spark.createDataFrame(links, "h int, s long, t long"), "h", "s", "t")
+    got = rings.count_rings(graph)
+    assert got.dtypes == [("w", "int"), ("n_rings", "bigint"), ("longest", "int")]
+    assert sorted(map(tuple, got.collect())) == [(0, len(every_ring(layers(3))), 6), (1, 3 * 2**39, 80)]
+    assert ring_sums.ring_sums(layers(90)) == (3 * 2**89, 180)
+
+
+@pytest.mark.parametrize("most", [1, 7, 100_000])
+def test_ring_sums_equal_the_rings_found(monkeypatch, most):
+    monkeypatch.setattr(ring_sums, "MOST_STATES", most)
+    for seed in range(80):
+        r = random.Random(seed)
+        n = r.randrange(2, 9)
+        links = [(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(1, 4 * n))]
+        links += [(a + n, b + n) for a, b in links[:n]] + [(0, n), (None, 0)]
+        found = every_ring([(a, b) for a, b in links if a is not None and a != b])
+        assert ring_sums.ring_sums(links) == (len(found), max(map(len, found), default=0))

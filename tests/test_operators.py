@@ -436,3 +436,12 @@ def test_ring_sums_equal_the_rings_found(monkeypatch, most):
         links += [(a + n, b + n) for a, b in links[:n]] + [(0, n), (None, 0)]
         found = every_ring([(a, b) for a, b in links if a is not None and a != b])
         assert ring_sums.ring_sums(links) == (len(found), max(map(len, found), default=0))
+
+
+@pytest.mark.parametrize("name", ["ring_counts", "ring_display_edges"])
+def test_rings_need_no_joins(spark, name):
+    """Edges off all rings are dropped in the task of their window, which has them all."""
+    from sparkloom import queries as q
+
+    plan = q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan

@@ -438,10 +438,27 @@ def test_ring_sums_equal_the_rings_found(monkeypatch, most):
         assert ring_sums.ring_sums(links) == (len(found), max(map(len, found), default=0))
 
 
-@pytest.mark.parametrize("name", ["ring_counts", "ring_display_edges"])
+@pytest.mark.parametrize("name", ["ring_counts", "ring_display_edges", "ring_search"])
 def test_rings_need_no_joins(spark, name):
     """Edges off all rings are dropped in the task of their window, which has them all."""
     from sparkloom import queries as q
 
     plan = q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("most", [1, 40, 1_000_000])
+def test_ring_texts_are_those_of_the_rings(spark, monkeypatch, most):
+    """Texts are joined from runs; each begins with its least account, which may stand anywhere in a run."""
+    monkeypatch.setattr(rings, "NODES_PER_BATCH", most)
+    for seed in range(40):
+        r = random.Random(seed)
+        names = r.sample(range(1, 2000), 60)
+        links = [*zip(names[:40], names[1:41], strict=True), *((names[r.randrange(40)], names[r.randrange(40)]) for _ in range(6))]
+        found = every_ring({(a, b) for a, b in links if a != b})
+        assert sorted(x for some in rings.ring_texts(links, ",") for x in some) == sorted(",".join(map(str, ring)) for ring in found)
+    links = [("a", "b"), ("b", "ä"), ("ä", "a"), ("b", "a"), ("x", "y"), ("y", None)]
+    graph = rings.edges(spark.createDataFrame([(0, *x) for x in links], "h int, s string, t string"), "h", "s", "t")
+    assert sorted(map(tuple, rings.find_ring_texts(graph, ">").collect())) == [(0, "a>b"), (0, "a>b>ä")]
+    with pytest.raises(TypeError, match="double"):
+        rings.find_ring_texts(graph.select("w", graph["src"].cast("double"), graph["dst"].cast("double")))
